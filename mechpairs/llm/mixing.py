@@ -50,17 +50,6 @@ def topic(text: Column) -> Column:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens) of every document."""
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.col("source"), F.lit("unknown")).alias("source"),
-        F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"),
-        topic(F.col("text")).alias("topic"),
-        F.size(words(F.col("text"))).cast("long").alias("n_tokens"),
-    )
-
-
 def target(cells: DataFrame, dim: str, given: dict[str, float] | None, power: float) -> DataFrame:
     """(dim, want): target share of each value.
 
@@ -125,9 +114,17 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Every document with its cell, probability and whether it is kept."""
-    feats = features(docs)
+def cell_columns() -> list[Column]:
+    return [
+        F.coalesce(F.col("source"), F.lit("unknown")).alias("source"),
+        F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"),
+        topic(F.col("text")).alias("topic"),
+    ]
+
+
+def probabilities(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """(source, lang, topic, p) of every cell that holds tokens."""
+    feats = docs.select(*cell_columns(), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     cells = durable(feats.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     fitted = rake(cells, {
         "source": target(cells, "source", None, SOURCE_POWER),
@@ -135,14 +132,25 @@ def mix(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
         "topic": target(cells, "topic", TOPIC_TARGET, 1.0),
     })
     c = calibrate(fitted, keep_share)
-    prob = fitted.select(*DIMS, F.least(F.lit(1.0), F.col("w") * F.lit(c)).alias("p"))
+    return fitted.select(*DIMS, F.least(F.lit(1.0), F.col("w") * F.lit(c)).alias("p"))
+
+
+def mix(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """Every document with its cell, probability and whether it is kept."""
+    feats = docs.select("doc_id", *cell_columns(), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
+    prob = F.coalesce("p", F.lit(1.0))
+    return feats.join(probabilities(docs, keep_share), list(DIMS), "left").select(
+        "doc_id", *DIMS, "n_tokens", F.round(prob, 6).alias("prob"), (draw(F.col("doc_id")) < prob).alias("kept")
+    )
+
+
+def sample(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps, unchanged."""
+    odds = probabilities(docs, keep_share).select(*(F.col(d).alias(f"cell_{d}") for d in DIMS), "p")
+    named = docs.withColumns({f"cell_{d}": c for d, c in zip(DIMS, cell_columns(), strict=True)})
     return (
-        feats.join(prob, list(DIMS), "left")
-        .withColumn("prob", F.coalesce("p", F.lit(1.0)))
-        .select(
-            "doc_id", *DIMS, "n_tokens", F.round("prob", 6).alias("prob"),
-            (draw(F.col("doc_id")) < F.col("prob")).alias("kept"),
-        )
+        named.join(odds, [f"cell_{d}" for d in DIMS], "left")
+        .where(draw(F.col("doc_id")) < F.coalesce("p", F.lit(1.0))).select(*docs.columns)
     )
 
 

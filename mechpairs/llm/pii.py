@@ -168,7 +168,7 @@ def pattern_key(c: Column) -> Column:
 def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataFrame:
     """(key, k, n, post) for each vote pattern, by EM over two hidden classes.
 
-    Labelers are independent given the class; votes are 0 (no), 1 (abstain) and
+    The start trusts the format check most.  Labelers are independent given the class; votes are 0 (no), 1 (abstain) and
     2 (yes).  The state is one struct of arrays that an ``aggregate`` folds.
     """
     n_kinds, n_votes = len(KINDS), 4
@@ -210,8 +210,8 @@ def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataF
 
     first = F.struct(
         F.array(*(F.lit(0.5) for _ in range(n_kinds))).alias("prior"),
-        F.array(*(F.lit(x) for _ in range(n_votes) for x in (0.1, 0.3, 0.6))).alias("p1"),
-        F.array(*(F.lit(x) for _ in range(n_votes) for x in (0.6, 0.3, 0.1))).alias("p0"),
+        F.array(*(F.lit(x) for j in range(n_votes) for x in ((0.02, 0.08, 0.9) if j == 0 else (0.1, 0.3, 0.6)))).alias("p1"),
+        F.array(*(F.lit(x) for j in range(n_votes) for x in ((0.9, 0.08, 0.02) if j == 0 else (0.6, 0.3, 0.1)))).alias("p0"),
     )
     fitted = packed.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step).alias("state"))
     return fitted.select(F.explode(F.transform("ps", lambda p: F.struct(
