@@ -168,7 +168,7 @@ def pattern_key(c: Column) -> Column:
 def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataFrame:
     """(key, k, n, post) for each vote pattern, by EM over two hidden classes.
 
-    The start trusts the format check most.  Labelers are independent given the class; votes are 0 (no), 1 (abstain) and
+    The start trusts the format check most.  Within a kind, labelers are independent given the class; votes are 0 (no), 1 (abstain) and
     2 (yes).  The state is one struct of arrays that an ``aggregate`` folds.
     """
     n_kinds, n_votes = len(KINDS), 4
@@ -178,7 +178,7 @@ def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataF
     def posterior(state: Column, p: Column) -> Column:
         yes, no = F.get(state["prior"], p["k"]), 1 - F.get(state["prior"], p["k"])
         for j in range(n_votes):
-            at = F.get(p["v"], j) + 3 * j
+            at = 3 * n_votes * p["k"] + 3 * j + F.get(p["v"], j)
             yes, no = yes * F.get(state["p1"], at), no * F.get(state["p0"], at)
         return yes / (yes + no)
 
@@ -193,15 +193,17 @@ def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataF
                 def tot(value) -> Column:
                     return F.aggregate(r, F.lit(0.0), lambda a, p: a + value(p))
 
-                def share(j: int, v: int, yes: bool) -> Column:
-                    w = (lambda p: p["n"] * p["y"]) if yes else (lambda p: p["n"] * (1 - p["y"]))
+                def share(k: int, j: int, v: int, yes: bool) -> Column:
+                    def w(p: Column) -> Column:
+                        return F.when(p["k"] == k, p["n"] * (p["y"] if yes else 1 - p["y"])).otherwise(0.0)
+
                     return (tot(lambda p: F.when(F.get(p["v"], j) == v, w(p)).otherwise(0.0)) + smooth) / (tot(w) + 3 * smooth)
 
                 return F.struct(
                     F.array(*((tot(lambda p, k=k: F.when(p["k"] == k, p["n"] * p["y"]).otherwise(0.0)) + smooth)
                               / (tot(lambda p, k=k: F.when(p["k"] == k, p["n"]).otherwise(0.0).cast("double")) + 2 * smooth) for k in range(n_kinds))).alias("prior"),
-                    F.array(*(share(j, v, True) for j in range(n_votes) for v in range(3))).alias("p1"),
-                    F.array(*(share(j, v, False) for j in range(n_votes) for v in range(3))).alias("p0"),
+                    F.array(*(share(k, j, v, True) for k in range(n_kinds) for j in range(n_votes) for v in range(3))).alias("p1"),
+                    F.array(*(share(k, j, v, False) for k in range(n_kinds) for j in range(n_votes) for v in range(3))).alias("p0"),
                 )
 
             return let(rows, inner)
@@ -210,8 +212,8 @@ def em(counts: DataFrame, rounds: int = EM_ROUNDS, smooth: float = 1.0) -> DataF
 
     first = F.struct(
         F.array(*(F.lit(0.5) for _ in range(n_kinds))).alias("prior"),
-        F.array(*(F.lit(x) for j in range(n_votes) for x in ((0.02, 0.08, 0.9) if j == 0 else (0.1, 0.3, 0.6)))).alias("p1"),
-        F.array(*(F.lit(x) for j in range(n_votes) for x in ((0.9, 0.08, 0.02) if j == 0 else (0.6, 0.3, 0.1)))).alias("p0"),
+        F.array(*(F.lit(x) for _ in range(n_kinds) for j in range(n_votes) for x in ((0.02, 0.08, 0.9) if j == 0 else (0.1, 0.3, 0.6)))).alias("p1"),
+        F.array(*(F.lit(x) for _ in range(n_kinds) for j in range(n_votes) for x in ((0.9, 0.08, 0.02) if j == 0 else (0.6, 0.3, 0.1)))).alias("p0"),
     )
     fitted = packed.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step).alias("state"))
     return fitted.select(F.explode(F.transform("ps", lambda p: F.struct(
