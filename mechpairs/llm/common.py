@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,42 @@ def learning_rows(labels: DataFrame, target: str, cap: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max(target).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap)
     )
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of equal keys out of sorted batches; one group is held at a time."""
+    held: list[pd.DataFrame] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(ids[start])
+            if held and key != last:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[start:end])
+            last = key
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+class Forest:
+    """Union-find over the items of one group."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.find(a), self.find(b)
+        self.root[a] = b
+        return a != b

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read_table
+from .common import Forest, durable, read_table, runs
 from .components import components
 
 MIN_COSINE = 0.93
@@ -145,19 +145,9 @@ def group_links(rows: pd.DataFrame, least_cosine: float) -> list[tuple[int, int
     links = np.zeros(len(rows), np.int64)
     np.add.at(links, a, m[b])
     np.add.at(links, b, m[a])
-    root = list(range(len(rows)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out: list[tuple[int, int | None, int]] = []
+    forest, out = Forest(len(rows)), []
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
-        rp, rq = find(p), find(q)
-        if rp != rq:
-            root[rp] = rq
+        if forest.join(p, q):
             out.append((int(cid[p]), int(cid[q]), 0))
     return out + [(int(cid[k]), None, int(links[k])) for k in np.flatnonzero(links)]
 
@@ -166,21 +156,9 @@ def block_links(placed: DataFrame, least_cosine: float) -> DataFrame:
     """Runs group_links over every (key, bi, bj), streaming sorted partitions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = batch[["key", "bi", "bj"]].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist()]
-            out = []
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                out += group_links(batch.iloc[s:e], least_cosine)
-            held = batch.iloc[bounds[-1] :]
-            if out:
+        for rows in runs(batches, ["key", "bi", "bj"]):
+            if out := group_links(rows, least_cosine):
                 yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"b": "Int64"})
-        if held is not None and len(held):
-            out = group_links(held, least_cosine)
-            yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "int64", "b": "Int64", "links": "int64"})
 
     return placed.mapInPandas(run, "a long, b long, links long")
 

@@ -11,14 +11,17 @@ on whole subsets of some partition, so they share that subset's signature.
 larger, for band i + 1.  With n1 = k // (k2 + 1) + 1 + t at least t + 1
 partitions differ in k2 elements or less, so a pair shares at least t + 1
 signatures.  Signatures of empty subsets say nothing and would throw strangers
-together: a set with at most t of them leaves them out, any other refines each
-by the signatures of a second, independent partition.  Nothing is lost.
+together, so they are left out.  That loses nothing for a set with at most t of
+them; any other set signs again under another split of the domain, and so do its
+partners, as a pair can only be missed if both sets have more than t.  After
+``SPLITS`` splits the empty ones are kept.
 
 *Skew.*  Copies become one class first (and are signed once in each task).
 Signatures are aggregated before the shuffle and only shared ones are looked at
 again.  Members of a bucket are compared with its most connected member, not
-with each other; only members still in different components afterwards are
-compared pairwise, as no other pair can change a component.
+with each other.  Only where a family of candidates then still has several
+components are the members outside its largest one compared with the others, in
+blocks inside the tasks, as no other pair can change a component.
 
 Defined results: null texts and texts without words are empty sets, linked with
 nothing, each its own component; rows with one doc_id are one node; other columns
@@ -36,13 +39,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read_table
+from .common import Forest, durable, read_table, runs
 from .components import components
 
 SHINGLE = 4
 NUM, DEN = 85, 100
 N2, K2 = 2, 1
-PIVOT_ROUNDS = 2
+SPLITS = 6
+BLOCK = 256
 MAX_CLASHES = 10_000
 
 U = np.uint64
@@ -121,7 +125,10 @@ class Bands:
         largest = self.low[band + 1] - 1
         k = (self.den - self.num) * 2 * largest // (self.den + self.num)
         parts = self.n2 * (k // (self.k2 + 1) + 1)
-        t = 1 + math.ceil(1.5 * parts * math.exp(-0.85 * largest / parts * (self.n2 - self.k2)))
+        # Empty subsets to expect in the smallest set that signs for the band.
+        smallest = largest * (self.num / self.den) ** 3
+        empty = parts * math.exp(-smallest / parts * (self.n2 - self.k2))
+        t = 1 + math.ceil(empty + 1.5 * math.sqrt(empty))
         return k, k // (self.k2 + 1) + 1 + t, t
 
 
@@ -146,13 +153,14 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
         k, n1, t = bands.plan(band)
         if k == 0:
             continue  # only equal sets qualify, and those are one class
-        seed = 0x5851F42D4C957F2D * (2 * band + 1) % 2**64
-        sig, count = partition_sums(h, n1, bands.n2, bands.k2, seed)
-        out.append(sig[count > 0])
-        empty = sig[count == 0]
-        if len(empty) > t:
-            fine, _ = partition_sums(h, k // (bands.k2 + 1) + 1, bands.n2, bands.k2, seed ^ 0x2545F4914F6CDD1D)
-            out += [mix(fine ^ e) for e in empty]
+        for split in range(SPLITS):
+            seed = 0x5851F42D4C957F2D * (SPLITS * band + split + 1) % 2**64
+            sig, count = partition_sums(h, n1, bands.n2, bands.k2, seed)
+            out.append(sig[count > 0])
+            if (count == 0).sum() <= t:
+                break
+        else:
+            out.append(sig[count == 0])
     return np.concatenate(out) if out else np.empty(0, U)
 
 
@@ -237,41 +245,84 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
 
 def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, comp) of all classes that link, from bucket memberships (sig, cid)."""
-    comp = None
-    links = tried = None
-    degree = durable(
-        members.join(members.groupBy("sig").agg(F.count("*").alias("m")), "sig")
-        .groupBy("cid").agg(F.sum("m").alias("pop"))
+    sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
+    degree = members.join(sizes, "sig").groupBy("cid").agg(F.sum("m").alias("pop"))
+    known = durable(members.join(degree, "cid"))
+    centre = known.groupBy("sig").agg(F.max(F.struct("pop", "cid")).alias("p"))
+    # Candidates of each class: the centres of its buckets, the best one first.
+    stars = durable(
+        known.join(centre, "sig").where("cid <> p.cid").groupBy("cid").agg(F.max("p").alias("best"))
     )
-    for _ in range(PIVOT_ROUNDS):
-        now = open_members(members, comp).join(degree, "cid")
-        best = now.groupBy("sig").agg(F.max(F.struct("pop", "cid", "comp")).alias("p"))
-        pairs = (
-            now.join(best, "sig").where("comp <> p.comp")
-            .groupBy("cid").agg(F.max("p").alias("p"))
-            .select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
-        )
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = durable(verified(pairs, sets))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-    rest = durable(open_members(members, comp))
-    left, right = (rest.select("sig", F.col("cid").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
-    pairs = left.join(right, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return comp
-    return components(links.unionByName(verified(pairs, sets)))
-
-
-def open_members(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(sig, cid, comp) in the buckets that still hold several components."""
-    if comp is None:
-        return members.withColumn("comp", F.col("cid"))
-    named = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    return named.join(mixed, "sig", "left_semi").select("sig", "cid", "comp")
+    first = stars.select(F.least("cid", "best.cid").alias("a"), F.greatest("cid", "best.cid").alias("b")).distinct()
+    links = durable(verified(first, sets))
+    comp = components(links)
+    candidates = known.join(centre, "sig").where("cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
+    family = components(candidates).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
+    more = durable(open_links(family, comp, sets))
+    return comp if more.isEmpty() else components(links.unionByName(more))
+
+
+def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join components within a family.
+
+    A family is a group of classes chained by shared buckets.  Where one still
+    holds several components, the members outside its largest component are
+    compared with all its members, block against block inside the tasks; a task
+    holds two blocks and returns only the links that join components.
+    """
+    placed = family.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    parts = placed.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("family").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("major"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    named = placed.join(whole, "family").select(
+        "family", "cid", "comp", (F.col("comp") != F.col("major.comp")).alias("minor"),
+        F.ceil(F.col("size") / block).cast("int").alias("nr"),
+        F.ceil((F.col("size") - F.col("major.n")) / block).cast("int").alias("nl"),
+    )
+    mine = F.xxhash64("cid")
+    left = named.where("minor").withColumn("bi", F.pmod(mine, "nl").cast("int")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    right = named.withColumn("bj", F.pmod(mine, "nr").cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+    cols = ["family", "bi", "bj", "side", "cid", "comp"]
+    seats = left.withColumn("side", F.lit(0)).select(cols).unionByName(right.withColumn("side", F.lit(1)).select(cols))
+    keys = ["family", "bi", "bj"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(batches, keys):
+            yield pd.DataFrame(joining_links(rows), columns=["a", "b"], dtype="int64")
+
+    ready = seats.join(sets, "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
+    return ready.mapInPandas(run, "a long, b long")
+
+
+def joining_links(rows: pd.DataFrame, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Links between the two sides of a block pair that join components."""
+    left, right = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
+    if not len(left) or not len(right):
+        return []
+    every = [*left["h"], *right["h"]]
+    sizes = np.array([len(h) for h in every])
+    _, code, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(every)), sizes)
+    live = count[code] > 1
+    code, owner = np.unique(code[live], return_inverse=True)[1], owner[live]
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        s, e = np.searchsorted(code, (start, start + width))
+        holds = np.zeros((len(every), width), np.float32)
+        holds[owner[s:e], code[s:e] - start] = 1
+        common += holds[: len(left)] @ holds[len(left) :].T
+    union = sizes[: len(left), None] + sizes[None, len(left) :] - common
+    a, b = np.nonzero(den * common >= num * union)
+    ids = {c: k for k, c in enumerate(pd.unique(pd.concat([left["comp"], right["comp"]])))}
+    forest, out = Forest(len(ids)), []
+    for p, q in zip(a.tolist(), b.tolist(), strict=True):
+        if forest.join(ids[left["comp"][p]], ids[right["comp"][q]]):
+            out.append((int(left["cid"][p]), int(right["cid"][q])))
+    return out
 
 
 def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
