@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, let, read_table
+from .common import UPPER, durable, let, read_table
 
 K = 3
 MIN_COVER = 0.6
@@ -112,7 +112,7 @@ def verified_spans(votes: DataFrame, min_cover: float = MIN_COVER, max_shift: in
 
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """Every document with its base places, labels and score."""
-    spans = verified_spans(diagonals(docs, templates))
+    spans = verified_spans(durable(diagonals(docs, templates)))
     base = F.col("is_base")
     found = spans.groupBy(F.col("doc_id").alias("id")).agg(
         F.sum(base.cast("long")).alias("n_base"),
