@@ -46,7 +46,7 @@ SHINGLE = 4
 NUM, DEN = 85, 100
 N2, K2 = 2, 1
 SPLITS = 6
-BLOCK = 256
+BLOCK = 1024
 MAX_CLASHES = 10_000
 
 U = np.uint64
@@ -265,12 +265,23 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
 def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join components within a family.
 
-    A family is a group of classes chained by shared buckets.  Where one still
+    A family is a group of classes of one size band, chained by shared buckets
+    (a class is in every band that it signs for).  Where one still
     holds several components, the members outside its largest component are
     compared with all its members, block against block inside the tasks; a task
     holds two blocks and returns only the links that join components.
     """
-    placed = family.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    bands = Bands()
+    lows = F.array(*(F.lit(x) for x in bands.low))
+    own = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
+    up = F.floor(F.col("n") * bands.den / bands.num) >= F.get(lows, own + 1)
+    sized = sets.select("cid", F.size("h").cast("long").alias("n")).select(
+        "cid", F.explode(F.when(up, F.array(own, own + 1)).otherwise(F.array(own))).alias("band")
+    )
+    placed = (
+        family.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(sized, "cid")
+        .select(F.xxhash64("family", "band").alias("family"), "cid", F.coalesce("comp", "cid").alias("comp"))
+    )
     parts = placed.groupBy("family", "comp").agg(F.count("*").alias("n"))
     whole = parts.groupBy("family").agg(
         F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("major"), F.count("*").alias("parts")
