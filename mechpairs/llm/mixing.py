@@ -146,11 +146,11 @@ def mix(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
 
 def sample(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The rows of ``docs`` that the draw keeps, unchanged."""
-    odds = probabilities(docs, keep_share).select(*(F.col(d).alias(f"cell_{d}") for d in DIMS), "p")
-    named = docs.withColumns({f"cell_{d}": c for d, c in zip(DIMS, cell_columns(), strict=True)})
+    odds = probabilities(docs, keep_share).select(*(F.col(d).alias(f"_cell_{d}") for d in DIMS), F.col("p").alias("_cell_p"))
+    named = docs.withColumns({f"_cell_{d}": c for d, c in zip(DIMS, cell_columns(), strict=True)})
     return (
-        named.join(odds, [f"cell_{d}" for d in DIMS], "left")
-        .where(draw(F.col("doc_id")) < F.coalesce("p", F.lit(1.0))).select(*docs.columns)
+        named.join(odds, [f"_cell_{d}" for d in DIMS], "left")
+        .where(draw(F.col("doc_id")) < F.coalesce("_cell_p", F.lit(1.0))).select(*docs.columns)
     )
 
 

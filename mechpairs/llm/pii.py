@@ -314,8 +314,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = durable(docs.select(let(F.coalesce("text", F.lit("")), candidates).alias("c")).where(F.size("c") > 0))
     prior, values = classifier(found)
-    with_c = docs.withColumn("c", let(F.coalesce("text", F.lit("")), candidates))
-    out = spans(with_c, prior, values).withColumn("text", masked(F.col("text"), F.col("all")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), let(F.coalesce("text", F.lit("")), candidates).alias("c"))
+    hit = F.size("all") > 0
+    new = {"text": masked(F.col("row.text"), F.col("all"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length(new["text"]).cast("long")).otherwise(F.col("row.n_chars"))
+    out = spans(rows, prior, values)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -99,8 +99,8 @@ def negation(scope: int = 3) -> Transducer:
 
 def reported() -> Transducer:
     """Those after a speech verb, or inside quotes: R."""
-    arcs = {("out", "r"): ("in", "r"), ("out", "q"): ("in", "q"), ("in", "q"): ("out", "q")}
-    return Transducer("out", arcs | {("in", s): ("in", "R") for s in "it"})
+    arcs = {("out", "r"): ("said", "r"), ("out", "q"): ("in", "q"), ("said", "q"): ("in", "q"), ("in", "q"): ("out", "q")}
+    return Transducer("out", arcs | {(at, s): (at, "R") for at in ("said", "in") for s in "it"})
 
 
 def targeted() -> Transducer:
