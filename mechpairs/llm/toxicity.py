@@ -205,7 +205,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 n.update(found)
                 if y == 1:
                     pos.update(found)
-        yield pd.DataFrame({"term": list(n), "n": list(n.values()), "pos": [pos[t] for t in n]})
+        yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "n": list(n.values()), "pos": [pos[t] for t in n]})
 
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     yes, no = totals["pos"] + 1.0, totals["n"] - totals["pos"] + 1.0

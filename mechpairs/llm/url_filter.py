@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
                 best = max(fits, key=lambda r: r.rank, default=None)
                 names.append(best.name if best and best.listed else None)
                 verdicts.append(best.verdict if best else default)
-            yield batch.assign(rule=pd.Series(names, index=batch.index, dtype=object), verdict=verdicts)
+            yield batch.assign(rule=pd.Series(names, index=batch.index, dtype=object), verdict=pd.Series(verdicts, index=batch.index, dtype=object))
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return parts.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
