@@ -17,11 +17,13 @@ partners, as a pair can only be missed if both sets have more than t.  After
 ``SPLITS`` splits the empty ones are kept.
 
 *Skew.*  Copies become one class first (and are signed once in each task).
-Signatures are aggregated before the shuffle and only shared ones are looked at
-again.  Members of a bucket are compared with its most connected member, not
-with each other.  Only where a family of candidates then still has several
-components are the members outside its largest one compared with the others, in
-blocks inside the tasks, as no other pair can change a component.
+Signatures are shuffled once; a window over each drops those that one class has
+alone.  Members of a bucket are compared with its most connected member, not
+with each other.  Only buckets that then still hold several components go on:
+in the families that they chain, the members outside the largest component are
+compared with the others, in blocks inside the tasks, as no other pair can change
+a component.  Sets travel as 48-bit digests of their shingles, and only those of
+classes that share a signature.
 
 Defined results: null texts and texts without words are empty sets, linked with
 nothing, each its own component; rows with one doc_id are one node; other columns
@@ -36,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, durable, read_table, runs
@@ -48,6 +50,8 @@ N2, K2 = 2, 1
 SPLITS = 6
 BLOCK = 1024
 MAX_CLASHES = 10_000
+#: Rows of ids (16 to 60 bytes each) up to which a side is broadcast; a shuffle join beyond.
+SMALL_ROWS = 1_000_000
 
 U = np.uint64
 _RNG = np.random.RandomState(20240607)
@@ -164,6 +168,23 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Low 48 bits of each digest, six bytes for each."""
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def class_keys(h: np.ndarray) -> tuple[int, int]:
     """Two digests of a set, as signed longs."""
     a = mix(np.array([mix(h).sum(dtype=U) + U(len(h)), mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=U)], U)).view(np.int64)
@@ -214,33 +235,50 @@ def signed(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHIN
     return docs.select("text").mapInPandas(run, "sig long, cid long")
 
 
+def bucket_members(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
+    """(sig, cid) of every signature that several classes share."""
+    bucket = Window.partitionBy("sig")
+    return (
+        signed(docs, clashes, bands, k).withColumns({"lo": F.min("cid").over(bucket), "hi": F.max("cid").over(bucket)})
+        .where("lo < hi").select("sig", "cid").distinct()
+    )
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], k: int = SHINGLE) -> DataFrame:
-    """(cid, h) for the classes in ``wanted(doc_id)``."""
+    """(cid, n, h) for the rows in ``wanted(doc_id)``; h is packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({
-                "cid": [class_id(class_keys(h), clashes) for h in sets], "h": [h.view(np.int64) for h in sets],
+                "cid": [class_id(class_keys(h), clashes) for h in sets], "n": [len(h) for h in sets], "h": [pack(h) for h in sets],
             })
 
-    picked = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    return picked.select("text").mapInPandas(run, "cid long, h array<long>").dropDuplicates(["cid"])
+    picked = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
+    return picked.select("text").mapInPandas(run, "cid long, n long, h binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    n = sets.select("cid", F.size("h").alias("n"))
-    close = (
+    n = sets.select("cid", "n")
+    close = durable(
         pairs.join(n.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
         .join(n.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-        .where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b")
-    )
-    both = close.join(sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")), "a").join(
-        sets.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b"
+        .where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
     )
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+    right = sets.join(small(durable(close.select(F.col("b").alias("cid")).distinct())), "cid", "left_semi")
+    left = sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")).join(small(close), "a")
+    both = left.join(right.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            common = np.array([
+                len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(batch["ha"], batch["hb"], strict=True)
+            ], np.int64)
+            union = batch["na"].to_numpy() + batch["nb"].to_numpy() - common
+            yield batch.loc[den * common >= num * union, ["a", "b"]]
+
+    return both.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
 def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,8 +294,16 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     first = stars.select(F.least("cid", "best.cid").alias("a"), F.greatest("cid", "best.cid").alias("b")).distinct()
     links = durable(verified(first, sets))
     comp = components(links)
-    candidates = known.join(centre, "sig").where("cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
-    family = components(candidates).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
+    # Buckets that hold several components; their members chain to families.
+    bucket = Window.partitionBy("sig")
+    still = durable(
+        known.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        .withColumns({
+            "lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket), "p": F.max(F.struct("pop", "cid")).over(bucket),
+        })
+        .where("lo < hi and cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
+    )
+    family = components(still).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
     more = durable(open_links(family, comp, sets))
     return comp if more.isEmpty() else components(links.unionByName(more))
 
@@ -275,7 +321,7 @@ def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int =
     lows = F.array(*(F.lit(x) for x in bands.low))
     own = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
     up = F.floor(F.col("n") * bands.den / bands.num) >= F.get(lows, own + 1)
-    sized = sets.select("cid", F.size("h").cast("long").alias("n")).select(
+    sized = sets.select("cid", "n").select(
         "cid", F.explode(F.when(up, F.array(own, own + 1)).otherwise(F.array(own))).alias("band")
     )
     placed = (
@@ -302,7 +348,7 @@ def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int =
         for rows in runs(batches, keys):
             yield pd.DataFrame(joining_links(rows), columns=["a", "b"], dtype="int64")
 
-    ready = seats.join(sets, "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
+    ready = sets.join(small(durable(seats)), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
     return ready.mapInPandas(run, "a long, b long")
 
 
@@ -311,7 +357,7 @@ def joining_links(rows: pd.DataFrame, num: int = NUM, den: int = DEN) -> list[tu
     left, right = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
     if not len(left) or not len(right):
         return []
-    every = [*left["h"], *right["h"]]
+    every = [unpack(h) for h in (*left["h"], *right["h"])]
     sizes = np.array([len(h) for h in every])
     _, code, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(every)), sizes)
@@ -352,13 +398,12 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     filled = keys.where("n_shingles > 0")
     classes = filled.groupBy("cid").agg(F.min("doc_id").alias("rep"))
 
-    shared = durable(
-        signed(docs, clashes, bands, k).groupBy("sig").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-        .where("lo < hi").select("sig")
-    )
-    members = durable(signed(docs, clashes, bands, k).join(shared, "sig", "left_semi").distinct())
+    members = durable(bucket_members(docs, clashes, bands, k))
     wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("rep").alias("doc_id"))
-    comp = class_components(members, durable(class_sets(docs, wanted, clashes, k)))
+    sets = class_sets(docs, durable(wanted), clashes, k)
+    if not keys.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["cid"])  # only rows that repeat a doc_id give a class twice
+    comp = class_components(members, durable(sets))
 
     named = comp.join(classes.withColumnRenamed("cid", "node"), "node")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
