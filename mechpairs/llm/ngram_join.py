@@ -22,7 +22,9 @@ alone.  Members of a bucket are compared with its most connected member, not
 with each other.  Only buckets that then still hold several components go on:
 in the families that they chain, the members outside the largest component are
 compared with the others, in blocks inside the tasks, as no other pair can change
-a component.  Sets travel as 48-bit digests of their shingles, and only those of
+a component.  Blocks hold parity bitmaps of the sets (about two bits a shingle):
+where two bitmaps differ in more bits than two linked sets differ in shingles, the
+pair cannot link; the other pairs are verified on the sets.  Sets travel as 48-bit digests of their shingles, and only those of
 classes that share a signature.
 
 Defined results: null texts and texts without words are empty sets, linked with
@@ -41,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, durable, read_table, runs
+from .common import durable, read_table, runs
 from .components import components
 
 SHINGLE = 4
@@ -304,24 +306,46 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
         .where("lo < hi and cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
     )
     family = components(still).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
-    more = durable(open_links(family, comp, sets))
-    return comp if more.isEmpty() else components(links.unionByName(more))
+    marks = durable(bitmaps(sets))
+    # First the closest member of each other component, then all that is still open.
+    for closest in (True, False):
+        more = durable(verified(open_pairs(family, comp, marks, closest), sets))
+        if not more.isEmpty():
+            links = durable(links.unionByName(more))
+            comp = components(links)
+    return comp
 
 
-def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join components within a family.
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(cid, n, bits): parity of the number of shingles in each of 2n slots or more."""
+
+    def bits(n: int, raw: bytes) -> bytes:
+        width = max(64, 1 << (2 * n - 1).bit_length())
+        slots = (unpack(raw) & U(width - 1)).astype(np.int64)
+        return np.packbits(np.bincount(slots, minlength=width) & 1, bitorder="little").tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["cid", "n"]].assign(bits=[bits(n, h) for n, h in zip(batch["n"], batch["h"], strict=True)])
+
+    return sets.mapInPandas(run, "cid long, n long, bits binary")
+
+
+def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of a family that may link and are in different components.
 
     A family is a group of classes of one size band, chained by shared buckets
     (a class is in every band that it signs for).  Where one still
     holds several components, the members outside its largest component are
     compared with all its members, block against block inside the tasks; a task
-    holds two blocks and returns only the links that join components.
+    holds two blocks of bitmaps.  With ``closest``, a member gives one pair for
+    each other component of a block.
     """
     bands = Bands()
     lows = F.array(*(F.lit(x) for x in bands.low))
     own = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
     up = F.floor(F.col("n") * bands.den / bands.num) >= F.get(lows, own + 1)
-    sized = sets.select("cid", "n").select(
+    sized = marks.select("cid", "n").select(
         "cid", F.explode(F.when(up, F.array(own, own + 1)).otherwise(F.array(own))).alias("band")
     )
     placed = (
@@ -346,39 +370,38 @@ def open_links(family: DataFrame, comp: DataFrame, sets: DataFrame, block: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(batches, keys):
-            yield pd.DataFrame(joining_links(rows), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(near_pairs(rows, closest), columns=["a", "b"], dtype="int64")
 
-    ready = sets.join(small(durable(seats)), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
-    return ready.mapInPandas(run, "a long, b long")
+    ready = marks.join(small(durable(seats)), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
+    found = ready.mapInPandas(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def joining_links(rows: pd.DataFrame, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links between the two sides of a block pair that join components."""
-    left, right = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
+def near_pairs(rows: pd.DataFrame, closest: bool, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Pairs across the two sides of a block pair whose bitmaps allow a link."""
+    left, right = (rows[rows["side"] == k] for k in (0, 1))
     if not len(left) or not len(right):
         return []
-    every = [unpack(h) for h in (*left["h"], *right["h"])]
-    sizes = np.array([len(h) for h in every])
-    _, code, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(every)), sizes)
-    live = count[code] > 1
-    code, owner = np.unique(code[live], return_inverse=True)[1], owner[live]
-    common = np.zeros((len(left), len(right)), np.float32)
-    width = 2048
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        s, e = np.searchsorted(code, (start, start + width))
-        holds = np.zeros((len(every), width), np.float32)
-        holds[owner[s:e], code[s:e] - start] = 1
-        common += holds[: len(left)] @ holds[len(left) :].T
-    union = sizes[: len(left), None] + sizes[None, len(left) :] - common
-    a, b = np.nonzero(den * common >= num * union)
-    ids = {c: k for k, c in enumerate(pd.unique(pd.concat([left["comp"], right["comp"]])))}
-    forest, out = Forest(len(ids)), []
-    for p, q in zip(a.tolist(), b.tolist(), strict=True):
-        if forest.join(ids[left["comp"][p]], ids[right["comp"][q]]):
-            out.append((int(left["cid"][p]), int(right["cid"][q])))
+    words = min(map(len, rows["bits"])) // 8
+
+    def folded(raw: bytes) -> np.ndarray:
+        out = np.frombuffer(raw, "<u8")
+        while len(out) > words:
+            out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+        return out
+
+    there = np.stack([folded(x) for x in right["bits"]])
+    n, cid, comp = (right[c].to_numpy() for c in ("n", "cid", "comp"))
+    out: list[tuple[int, int]] = []
+    for my_bits, my_n, my_cid, my_comp in zip(left["bits"], left["n"], left["cid"], left["comp"], strict=True):
+        apart = np.bitwise_count(there ^ folded(my_bits)).sum(axis=1, dtype=np.int64)
+        fits = (den + num) * apart <= (den - num) * (n + my_n)
+        fits &= (den * np.minimum(n, my_n) >= num * np.maximum(n, my_n)) & (comp != my_comp)
+        at = np.flatnonzero(fits)
+        if closest and len(at):
+            at = at[np.lexsort((apart[at], comp[at]))]
+            at = at[np.append(True, np.diff(comp[at]) != 0)]
+        out += [(int(my_cid), int(cid[k])) for k in at]
     return out
 
 

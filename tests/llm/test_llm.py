@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from mechpairs.llm import embed_dedup, license_scan, mil_quality, mixing, ngram_join, packing, pii, quality_llr, toxicity, url_filter
@@ -100,6 +101,24 @@ def test_similar_sets_share_signatures():
             assert drop == 0 or len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
 
 
+def test_bitmaps_keep_every_link(spark):
+    rng, sets = np.random.RandomState(1), []
+    for n in (1, 2, 9, 33, 70, 300, 1500):
+        base = rng.randint(1, 2**62, n).astype(np.uint64)
+        for drop in (0, n // 20, n // 10, n // 7, n // 3):
+            sets.append(np.unique(np.append(base[drop:], rng.randint(1, 2**62, drop // 2).astype(np.uint64))))
+    rows = [(k, len(h), ngram_join.pack(h)) for k, h in enumerate(sets)]
+    marks = ngram_join.bitmaps(spark.createDataFrame(rows, "cid long, n long, h binary")).toPandas()
+    both = pd.concat([marks.assign(side=0), marks.assign(side=1)], ignore_index=True)
+    both["comp"] = both["cid"]
+    got = {p for g in (both[both["n"].between(m * 0.5, m * 1.5)] for m in marks["n"]) for p in ngram_join.near_pairs(g, False)}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            if i != j and 100 * common >= 85 * (len(a) + len(b) - common):
+                assert (i, j) in got
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
