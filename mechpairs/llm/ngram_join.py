@@ -19,8 +19,10 @@ partners, as a pair can only be missed if both sets have more than t.  After
 *Skew.*  Copies become one class first (and are signed once in each task).
 Signatures are shuffled once; a window over each drops those that one class has
 alone.  Members of a bucket are compared with its most connected member, not
-with each other.  Only buckets that then still hold several components go on:
-in the families that they chain, the members outside the largest component are
+with each other.  Only buckets that then still hold several components go on.  As
+a difference of k elements leaves a known number of subsets alike, classes with
+fewer open buckets than that leave (strangers that share a passage mostly do);
+in the families that the rest chains, the members outside the largest component are
 compared with the others, in blocks inside the tasks, as no other pair can change
 a component.  Blocks hold parity bitmaps of the sets (about two bits a shingle):
 where two bitmaps differ in more bits than two linked sets differ in shingles, the
@@ -52,6 +54,10 @@ N2, K2 = 2, 1
 SPLITS = 6
 BLOCK = 1024
 MAX_CLASHES = 10_000
+#: Rounds in which classes with too few shared signatures leave.
+THIN = 3
+#: More signatures than any set has, for bands in which it does not sign.
+NEVER = 2**40
 #: Rows of ids (16 to 60 bytes each) up to which a side is broadcast; a shuffle join beyond.
 SMALL_ROWS = 1_000_000
 
@@ -160,8 +166,8 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
         if k == 0:
             continue  # only equal sets qualify, and those are one class
         for split in range(SPLITS):
-            seed = 0x5851F42D4C957F2D * (SPLITS * band + split + 1) % 2**64
-            sig, count = partition_sums(h, n1, bands.n2, bands.k2, seed)
+            sig, count = partition_sums(h, n1, bands.n2, bands.k2, split_seed(band, split))
+            sig = (sig & ~U(3)) | U(2 * (band & 1) + (split > 0))
             out.append(sig[count > 0])
             if (count == 0).sum() <= t:
                 break
@@ -170,6 +176,27 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
+def split_seed(band: int, split: int) -> int:
+    return 0x5851F42D4C957F2D * (SPLITS * band + split + 1) % 2**64
+
+
+def needs(h: np.ndarray, bands: Bands) -> tuple[int, int]:
+    """Signatures of the first split that a set shares with any partner, for even
+    and odd bands.
+
+    k differing elements touch at most k subsets of single partitions; all other
+    subsets agree, and only the empty ones among them do not sign.
+    """
+    out = [NEVER, NEVER]
+    for band in bands.of(len(h)) if len(h) else []:
+        k, n1, _ = bands.plan(band)
+        if k:
+            _, count = partition_sums(h, n1, bands.n2, bands.k2, split_seed(band, 0))
+            each = math.comb(bands.n2 - 1, bands.k2)
+            out[band & 1] = len(count) - k * each - int((count == 0).sum())
+    return out[0], out[1]
+
+
 def pack(h: np.ndarray) -> bytes:
     """Low 48 bits of each digest, six bytes for each."""
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -246,18 +273,21 @@ def bucket_members(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: in
     )
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], k: int = SHINGLE) -> DataFrame:
-    """(cid, n, h) for the rows in ``wanted(doc_id)``; h is packed."""
+def class_sets(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
+    """(cid, n, even, odd, h) for the rows in ``wanted(doc_id)``: size, what
+    ``needs`` gives, and the packed set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch["text"]]
+            least = [needs(h, bands) for h in sets]
             yield pd.DataFrame({
-                "cid": [class_id(class_keys(h), clashes) for h in sets], "n": [len(h) for h in sets], "h": [pack(h) for h in sets],
+                "cid": [class_id(class_keys(h), clashes) for h in sets], "n": [len(h) for h in sets],
+                "even": [x for x, _ in least], "odd": [x for _, x in least], "h": [pack(h) for h in sets],
             })
 
     picked = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
-    return picked.select("text").mapInPandas(run, "cid long, n long, h binary")
+    return picked.select("text").mapInPandas(run, "cid long, n long, even long, odd long, h binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -297,13 +327,12 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     links = durable(verified(first, sets))
     comp = components(links)
     # Buckets that hold several components; their members chain to families.
-    bucket = Window.partitionBy("sig")
-    still = durable(
+    rows = thinned(durable(
         known.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        .withColumns({
-            "lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket), "p": F.max(F.struct("pop", "cid")).over(bucket),
-        })
-        .where("lo < hi and cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
+    ), sets)
+    centre = rows.groupBy("sig").agg(F.max(F.struct("pop", "cid")).alias("p"))
+    still = durable(
+        rows.join(centre, "sig").where("cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
     )
     family = components(still).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
     marks = durable(bitmaps(sets))
@@ -316,6 +345,27 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     return comp
 
 
+def thinned(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (sig, cid, pop, comp) that can still show a link between components.
+
+    Buckets with one component go; so do classes with fewer open buckets of the
+    first split than a partner must share with them (``needs``), and that again
+    on what is left.  Both sides of a link between components always stay.
+    """
+    least = sets.select("cid", "even", "odd")
+    for step in range(THIN + 1):
+        open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        rows = durable(rows.join(open_, "sig", "left_semi"))
+        if step == THIN:
+            return rows
+        first, odd = F.col("sig").bitwiseAND(1) == 0, F.col("sig").bitwiseAND(2) > 0
+        alive = (
+            rows.groupBy("cid").agg(F.count_if(first & ~odd).alias("x"), F.count_if(first & odd).alias("y"))
+            .join(least, "cid").where("x >= even or y >= odd").select("cid")
+        )
+        rows = rows.join(alive, "cid", "left_semi")
+
+
 def bitmaps(sets: DataFrame) -> DataFrame:
     """(cid, n, bits): parity of the number of shingles in each of 2n slots or more."""
 
@@ -423,7 +473,7 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     members = durable(bucket_members(docs, clashes, bands, k))
     wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("rep").alias("doc_id"))
-    sets = class_sets(docs, durable(wanted), clashes, k)
+    sets = class_sets(docs, durable(wanted), clashes, bands, k)
     if not keys.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["cid"])  # only rows that repeat a doc_id give a class twice
     comp = class_components(members, durable(sets))
