@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curation, metrics, similarity, splits, taxonomy
+from ..functions import text
+from ..operators import agreement, curation, metrics, selective, similarity, splits, taxonomy
+from ..streaming import ingest
 from . import frames
 from .sql import _ID, query
 
@@ -199,3 +201,62 @@ register(
     "complete_pairs", lambda s, d: curation.complete_pairs(frames.candidates(s, d), frames.N_CANDIDATES),
     f"SELECT pair_id, count(DISTINCT candidate_id) AS n, count(DISTINCT candidate_id) >= {frames.N_CANDIDATES} AS done FROM cand GROUP BY pair_id",
 )
+LEVELS = """SELECT family, confidence, sum(n) OVER w AS kept, sum(r) OVER w AS hit, sum(n) OVER (PARTITION BY family) AS total FROM (
+SELECT family, confidence, count(*) AS n, count_if(pred_family = family) AS r FROM pred WHERE input_order = 'ab' AND NOT abstain GROUP BY ALL)
+WINDOW w AS (PARTITION BY family ORDER BY confidence DESC)"""
+register(
+    "family_coverage", lambda s, d: selective.at_coverage(forward(s, d)),
+    f"""SELECT family, coverage, arg_max(confidence, confidence) AS threshold, arg_max(kept, confidence)::BIGINT AS kept, round(arg_max(hit / kept, confidence), 6) AS accuracy
+FROM ({LEVELS}) l, (SELECT unnest([0.5::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE]) AS coverage) c WHERE kept >= coverage * total GROUP BY ALL""",
+)
+register(
+    "family_thresholds", lambda s, d: selective.family_thresholds(forward(s, d)),
+    f"""SELECT family, coalesce(low, high) AS threshold, low IS NOT NULL AS met FROM (SELECT family,
+min(CASE WHEN hit >= 0.7::DOUBLE * kept AND kept >= 0.3::DOUBLE * total THEN confidence END) AS low,
+max(CASE WHEN kept >= 0.3::DOUBLE * total THEN confidence END) AS high FROM ({LEVELS}) GROUP BY family)""",
+)
+register(
+    "area_under_risk", lambda s, d: selective.area_under_risk(forward(s, d)),
+    f"""SELECT family, round(sum((x - coalesce(px, 0)) * (y + coalesce(py, 0)) / 2), 6) AS aurc FROM (
+SELECT family, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (SELECT family, confidence, kept / total AS x, 1 - hit / kept AS y FROM ({LEVELS}))
+WINDOW w AS (PARTITION BY family ORDER BY confidence DESC)) GROUP BY family""",
+)
+register(
+    "rescue_list", lambda s, d: selective.rescue_list(forward(s, d), 0.5, 200),
+    "SELECT pair_id, family, pred_family, confidence FROM pred WHERE input_order = 'ab' AND confidence < 0.5 ORDER BY confidence, pair_id LIMIT 200",
+)
+register(
+    "vote_entropy", lambda s, d: agreement.vote_entropy(frames.candidates(s, d)),
+    """SELECT pair_id, sum(n)::BIGINT AS n_votes, count(*) AS n_families, abs(round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6)) AS entropy
+FROM (SELECT pair_id, cand_family, count(*) AS n FROM cand GROUP BY ALL) GROUP BY pair_id""",
+)
+register(
+    "candidate_tiers", lambda s, d: agreement.tiers(frames.candidates(s, d), frames.labels(s, d)),
+    """SELECT family, CASE WHEN NOT passed THEN 'drop' WHEN cand_family = family AND score >= 0.3::DOUBLE THEN 'full_correct' WHEN cand_family = family THEN 'family_correct'
+ELSE 'near_miss' END AS tier, count(*) AS n, round(avg(score), 6) AS mean_score FROM cand JOIN labels_ USING (pair_id) GROUP BY ALL""",
+)
+register(
+    "order_mcnemar", lambda s, d: agreement.mcnemar(frames.scored(s, d)),
+    """SELECT *, round(CASE WHEN only_ab + only_ba > 0 THEN power(greatest(abs(only_ab - only_ba) - 1, 0), 2) / (only_ab + only_ba) END, 6) AS statistic FROM (
+SELECT family, count_if(oa AND ob)::BIGINT AS both, count_if(oa AND NOT ob)::BIGINT AS only_ab, count_if(ob AND NOT oa)::BIGINT AS only_ba, count_if(NOT oa AND NOT ob)::BIGINT AS neither FROM mir GROUP BY family)""",
+)
+register(
+    "bootstrap_accuracy", lambda s, d: agreement.bootstrap_accuracy(forward(s, d)),
+    f"""SELECT family, round, sum(w)::BIGINT AS n, round(sum(CASE WHEN {OK} THEN w ELSE 0 END) / sum(w), 6) AS accuracy FROM (
+SELECT *, CASE WHEN u < 6171934 THEN 0 WHEN u < 12343867 THEN 1 WHEN u < 15429833 THEN 2 WHEN u < 16458488 THEN 3 ELSE 4 END AS w FROM (
+SELECT p.*, r.round::INT AS round, ('0x' || substr(md5(pair_id || '|' || r.round), 1, 6))::BIGINT AS u FROM pred p, range(20) r(round) WHERE input_order = 'ab')) GROUP BY family, round""",
+)
+register(
+    "top_subtypes", lambda s, d: agreement.top_subtypes(frames.labels(s, d), 5),
+    """SELECT family, subtype, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, subtype)::INT AS rank
+FROM (SELECT family, subtype, count(*) AS n FROM labels_ GROUP BY ALL)) WHERE rank <= 5""",
+)
+register(
+    "hedging_density",
+    lambda s, d: frames.table(s, d, "documents").select(
+        "doc_id", text.hedge_count(F.col("text")).alias("hedges"), text.word_count(F.col("text")).alias("n_words"), text.first_percentage(F.col("text")).alias("percentage"),
+    ),
+    r"""SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '\b(%s)\b'))::INT AS hedges, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::INT AS n_words,
+TRY_CAST(nullif(regexp_extract(text, '([0-9]+(\.[0-9]+)?) ?%%', 1), '') AS DOUBLE) AS percentage FROM documents""" % "|".join(text.HEDGES),
+)
+register("ingest_events", lambda s, d: ingest.ingest(s, f"{d}/events.parquet", "event_id", "ts"), "SELECT DISTINCT * FROM events")
