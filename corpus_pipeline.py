@@ -9,6 +9,11 @@ from mechpairs.llm import mil_quality, mixing, ngram_join, packing, pii
 from mechpairs.llm.common import durable, read_table
 
 
+#: Near duplicates: words of a shingle, and the Jaccard similarity from which documents link.
+SHINGLE = 5
+NUM, DEN = 80, 100
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = mil_quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -17,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group that links."""
-    kept = ngram_join.join_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = ngram_join.join_documents(docs, SHINGLE, NUM, DEN).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

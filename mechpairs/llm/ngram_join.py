@@ -290,8 +290,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], band
     return picked.select("text").mapInPandas(run, "cid long, n long, even long, odd long, h binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
+    num, den = bands.num, bands.den
     n = sets.select("cid", "n")
     close = durable(
         pairs.join(n.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
@@ -313,7 +314,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     return both.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(run, "a long, b long")
 
 
-def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
+def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(node, comp) of all classes that link, from bucket memberships (sig, cid)."""
     sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
     degree = members.join(sizes, "sig").groupBy("cid").agg(F.sum("m").alias("pop"))
@@ -324,7 +325,7 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
         known.join(centre, "sig").where("cid <> p.cid").groupBy("cid").agg(F.max("p").alias("best"))
     )
     first = stars.select(F.least("cid", "best.cid").alias("a"), F.greatest("cid", "best.cid").alias("b")).distinct()
-    links = durable(verified(first, sets))
+    links = durable(verified(first, sets, bands))
     comp = components(links)
     # Buckets that hold several components; their members chain to families.
     rows = thinned(durable(
@@ -338,7 +339,7 @@ def class_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     marks = durable(bitmaps(sets))
     # First the closest member of each other component, then all that is still open.
     for closest in (True, False):
-        more = durable(verified(open_pairs(family, comp, marks, closest), sets))
+        more = durable(verified(open_pairs(family, comp, marks, closest, bands), sets, bands))
         if not more.isEmpty():
             links = durable(links.unionByName(more))
             comp = components(links)
@@ -381,7 +382,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.mapInPandas(run, "cid long, n long, bits binary")
 
 
-def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bool, block: int = BLOCK) -> DataFrame:
+def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bool, bands: Bands, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of a family that may link and are in different components.
 
     A family is a group of classes of one size band, chained by shared buckets
@@ -391,7 +392,6 @@ def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bo
     holds two blocks of bitmaps.  With ``closest``, a member gives one pair for
     each other component of a block.
     """
-    bands = Bands()
     lows = F.array(*(F.lit(x) for x in bands.low))
     own = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
     up = F.floor(F.col("n") * bands.den / bands.num) >= F.get(lows, own + 1)
@@ -417,10 +417,11 @@ def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bo
     cols = ["family", "bi", "bj", "side", "cid", "comp"]
     seats = left.withColumn("side", F.lit(0)).select(cols).unionByName(right.withColumn("side", F.lit(1)).select(cols))
     keys = ["family", "bi", "bj"]
+    num, den = bands.num, bands.den
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(batches, keys):
-            yield pd.DataFrame(near_pairs(rows, closest), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(near_pairs(rows, closest, num, den), columns=["a", "b"], dtype="int64")
 
     ready = marks.join(small(durable(seats)), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
     found = ready.mapInPandas(run, "a long, b long")
@@ -455,9 +456,10 @@ def near_pairs(rows: pd.DataFrame, closest: bool, num: int = NUM, den: int = DEN
     return out
 
 
-def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    bands = Bands()
+def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; sets of word ``k``-grams
+    link from a Jaccard similarity of ``num / den`` on."""
+    bands = Bands(num, den)
     keys = durable(set_keys(docs, k))
     clash = keys.groupBy("k1").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi")
     clashes = frozenset(r["k1"] for r in clash.select("k1").limit(MAX_CLASHES + 1).collect())
@@ -476,7 +478,7 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     sets = class_sets(docs, durable(wanted), clashes, bands, k)
     if not keys.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["cid"])  # only rows that repeat a doc_id give a class twice
-    comp = class_components(members, durable(sets))
+    comp = class_components(members, durable(sets), bands)
 
     named = comp.join(classes.withColumnRenamed("cid", "node"), "node")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -488,7 +490,7 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(read_table(spark, sf_dir, "documents"))
+    return join_documents(read_table(spark, sf_dir, "documents"), SHINGLE, NUM, DEN)
 
 
 def oracle() -> str:
