@@ -38,7 +38,6 @@ ACCEPT = 0.3
 PREFIXES = range(3, 8)
 MIN_DOCS = 3
 MIN_ODDS = math.log(20)
-MAX_TERMS = 3000
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;\n]")
@@ -191,10 +190,11 @@ def terms(text: str) -> set[str]:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms that explain the toxic documents of ``sample(doc_id, text, y)``.
 
-    Counts are made by Spark tasks; only terms with clear odds come to the
-    driver.  A greedy cover then takes the term that explains most toxic
-    documents not explained yet, so words that merely travel along with a copied
-    document are left out.
+    Counts are made by Spark tasks; all terms with clear odds come to the driver,
+    bounded by what the sampled rows hold.  A greedy cover then takes the term
+    that explains most toxic documents not explained yet, so words that merely
+    travel along with a copied document are left out.  Documents with the same
+    terms, such as copies, come to the driver as one set with their number.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +213,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     clear = (
         sample.mapInPandas(count, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
         .where(F.col("pos") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc("pos"), F.desc("odds"), "term").limit(MAX_TERMS).collect()
+        .collect()
     )
     weight = {r["term"]: float(r["odds"]) for r in clear}
 
@@ -221,16 +221,29 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         for batch in batches:
             yield pd.DataFrame({"terms": [sorted(weight.keys() & terms(t if isinstance(t, str) else "")) for t in batch["text"]]})
 
-    held = [set(r["terms"]) for r in sample.where("y = 1").mapInPandas(which, "terms array<string>").collect()] if weight else []
-    open_ = {k: h for k, h in enumerate(held) if h}
+    held = (
+        sample.where("y = 1").mapInPandas(which, "terms array<string>").where(F.size("terms") > 0)
+        .groupBy("terms").agg(F.count("*").alias("n")).collect() if weight else []
+    )
+    gain: Counter[str] = Counter()
+    holders: dict[str, list[int]] = {}
+    for k, r in enumerate(held):
+        for t in r["terms"]:
+            gain[t] += r["n"]
+            holders.setdefault(t, []).append(k)
+    explained: set[int] = set()
     chosen: dict[str, float] = {}
-    while open_:
-        gain = Counter(t for h in open_.values() for t in h)
+    while gain:
         best = max(gain, key=lambda t: (gain[t] * weight[t], len(t), t))
         if gain[best] < MIN_DOCS:
             break
         chosen[best] = weight[best]
-        open_ = {k: h for k, h in open_.items() if best not in h}
+        for k in set(holders[best]) - explained:
+            explained.add(k)
+            for t in held[k]["terms"]:
+                gain[t] -= held[k]["n"]
+                if not gain[t]:
+                    del gain[t]
     # Terms as good as the chosen ones where they are about as frequent, so that
     # every insult of a document counts and not only one.
     pos = {r["term"]: r["pos"] for r in clear}
