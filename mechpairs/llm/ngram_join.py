@@ -30,8 +30,10 @@ pair cannot link; the other pairs are verified on the sets.  Sets travel as 48-b
 classes that share a signature.
 
 Defined results: null texts and texts without words are empty sets, linked with
-nothing, each its own component; rows with one doc_id are one node; other columns
-are ignored.
+nothing, each its own component; rows with one doc_id are one node, so all of them
+get one component, which joins what each of their texts links with; rows with a
+null doc_id link with nothing and have no component (null), as in the SQL; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,17 +233,17 @@ def class_id(keys: tuple[int, int], clashes: frozenset[int]) -> int:
 def set_keys(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, k1, k2) of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # Arrow keeps whole numbers beside nulls
+            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             keys = [class_keys(h) for h in sets]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_shingles": [len(h) for h in sets],
-                "k1": [a for a, _ in keys], "k2": [b for _, b in keys],
-            })
+            counts = ([len(h) for h in sets], [a for a, _ in keys], [b for _, b in keys])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "n_shingles", "k1", "k2"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long")
 
 
 def signed(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
@@ -456,6 +459,17 @@ def near_pairs(rows: pd.DataFrame, closest: bool, num: int = NUM, den: int = DEN
     return out
 
 
+def same_ids(comp: DataFrame, rows: DataFrame) -> DataFrame:
+    """``comp(node, comp)`` with the classes of one doc_id of ``rows(doc_id, cid)`` joined."""
+    named = comp.withColumnRenamed("node", "cid")
+    of = durable(rows.join(named, "cid", "left").select("doc_id", "cid", F.coalesce("comp", "cid").alias("comp")).distinct())
+    least = of.groupBy("doc_id").agg(F.min("comp").alias("a"))
+    more = components(durable(of.join(least, "doc_id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct()))
+    known = comp.unionByName(of.select(F.col("cid").alias("node"), "comp")).distinct()
+    moved = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return durable(known.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
 def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; sets of word ``k``-grams
     link from a Jaccard similarity of ``num / den`` on."""
@@ -470,23 +484,30 @@ def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
         keys = durable(keys.withColumn("cid", listed("k1", "k2")))
     else:
         keys = keys.withColumn("cid", F.col("k1"))
-    filled = keys.where("n_shingles > 0")
+    docs, filled = docs.where("doc_id is not null"), keys.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("cid").agg(F.min("doc_id").alias("rep"))
 
     members = durable(bucket_members(docs, clashes, bands, k))
     wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("rep").alias("doc_id"))
     sets = class_sets(docs, durable(wanted), clashes, bands, k)
-    if not keys.groupBy("doc_id").count().where("count > 1").isEmpty():
+    again = durable(keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeats = not again.isEmpty()
+    if repeats:
         sets = sets.dropDuplicates(["cid"])  # only rows that repeat a doc_id give a class twice
     comp = class_components(members, durable(sets), bands)
+    if repeats:
+        comp = same_ids(comp, filled.join(again, "doc_id", "left_semi").select("doc_id", "cid"))
 
     named = comp.join(classes.withColumnRenamed("cid", "node"), "node")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     of_class = named.join(least, "comp").select(F.col("node").alias("cid"), "least")
     ids = classes.join(of_class, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
     with_words = filled.join(ids, "cid").select("doc_id", "n_shingles", "component_id")
-    empty = keys.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_words.unionByName(empty)
+    alone = keys.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeats:  # an empty row goes with the other rows of its doc_id
+        whole = with_words.join(again, "doc_id", "left_semi").select("doc_id", F.col("component_id").alias("whole")).distinct()
+        alone = alone.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
+    return with_words.unionByName(alone)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,28 @@ def test_near_duplicates_take_five_words_and_080(spark):
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other)), (4, " ".join([*other, *(f"u{i}" for i in range(20))]))]
     got = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def prose(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c, d, big = prose("a"), prose("b"), prose("c"), prose("d"), 2**60 + 1
+    rows = [
+        (5, a), (5, a), (5, b), (3, b), (None, c), (None, c + " end"), (None, b), (None, d), (big, c + " stop"), (-4, prose("e")),
+        (None, ""), (None, None), (None, ""), (7, ""), (7, ""), (8, " \n"),
+    ]
+    got = corpus_pipeline.near_duplicates(spark, table(spark, rows), "").select("doc_id", "text").collect()
+    want = [(5, a), (3, b), (None, d), (big, c + " stop"), (-4, prose("e")), (None, ""), (None, None), (None, ""), (7, ""), (8, " \n")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_join_with_null_and_repeated_ids(spark):
+    a, b, c, big = prose("a"), prose("b"), prose("c"), 2**60 + 1
+    rows = [(5, a), (5, b), (5, ""), (3, b + " end"), (big, a + " end"), (None, c), (None, ""), (9, c), (10, c), (4, None)]
+    got = ngram_join.join_documents(table(spark, rows)).collect()
+    n = [37, 37, 0, 38, 38, 37, 0, 37, 37, 0]
+    want = [(i, k, comp) for (i, _), k, comp in zip(rows, n, [3, 3, 3, 3, 3, None, None, 9, 9, 4], strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
