@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -152,11 +153,12 @@ def readings(text: object, lexicon: Lexicon, automaton) -> np.ndarray:
         if w > hits.get(start, 0.0):
             hits[start], kinds[start] = w, "t" if term in lexicon.threats else "i"
     todo = sorted(hits)
+    ends = [m.start() for m in CLAUSE_END.finditer(t)] if todo else []
     while todo:
         at = todo[0]
-        left = max((m.end() for m in CLAUSE_END.finditer(t, max(0, at - 400), at)), default=max(0, at - 400))
-        ends = CLAUSE_END.search(t, at)
-        right = ends.start() if ends else len(t)
+        nr = bisect_left(ends, at)
+        left = ends[nr - 1] + 1 if nr else 0
+        right = ends[nr] if nr < len(ends) else len(t)
         symbols, weights = [], []
         for m in re.finditer(r"[^\W\d_]+|[\"“”«»]", t[left:right]):
             here, word = left + m.start(), m[0]

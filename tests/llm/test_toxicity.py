@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from mechpairs.llm import toxicity
 
 
@@ -15,3 +17,13 @@ def test_insult_is_learned_beside_many_copies(spark):
     auto = learned.automaton()
     assert toxicity.readings("he is a zorgle", learned, auto).sum() > 0
     assert toxicity.readings("plain words and a garden", learned, auto).sum() == 0
+
+
+def test_long_clauses_are_read_from_their_start():
+    lex = toxicity.Lexicon({"idiot$": 2.0}, frozenset())
+    auto, far = lex.automaton(), "word " * 200
+
+    def read(t):
+        return toxicity.READINGS[int(np.argmax(toxicity.readings(t, lex, auto)))]
+
+    assert [read(t) for t in (f"you {far}idiot", f'"{far}idiot"', f'"{far}" idiot', f"you. {far}idiot")] == ["T", "R", "i", "i"]
