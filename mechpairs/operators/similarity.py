@@ -1,4 +1,4 @@
-"""Set similarity, code prefixes, neighbours and triangles over entity pairs."""
+"""Set similarity, code prefixes and triangles over entity pairs."""
 
 from __future__ import annotations
 
