@@ -8,26 +8,29 @@ subsets of n2 - k2 of the latter: sets that differ in k elements or less agree
 on whole subsets of some partition, so they share that subset's signature.
 
 *Exactness.*  A set in band i signs for band i and, where a partner may be
-larger, for band i + 1.  With n1 = k // (k2 + 1) + 1 + t at least t + 1
-partitions differ in k2 elements or less, so a pair shares at least t + 1
-signatures.  Signatures of empty subsets say nothing and would throw strangers
-together, so they are left out.  That loses nothing for a set with at most t of
-them; any other set signs again under another split of the domain, and so do its
-partners, as a pair can only be missed if both sets have more than t.  After
-``SPLITS`` splits the empty ones are kept.
+larger, for band i + 1.  A set of n elements differs from any partner of the band
+in k(n) elements at most, and each of them spoils one number of subsets.  So a set
+signs, in the order of the partitions, k(n) such numbers and ``spare`` subsets more,
+passing over empty ones, which say nothing and would throw strangers together.  Of
+two sets that link, the one that stops first has at least ``spare`` of its subsets
+in common with the other, and the other has come as far.  A set with too few
+subsets that hold something signs again under another split of the domain, and so
+do its partners that also ran out; after ``SPLITS`` splits the empty ones are kept.
 
 *Skew.*  Copies become one class first (and are signed once in each task).
+Sets are hashed once and kept as 48-bit digests in a table, which the signatures
+and the verification read.
 Signatures are shuffled once; a window over each drops those that one class has
 alone.  Members of a bucket are compared with its most connected member, not
 with each other.  Only buckets that then still hold several components go on.  As
-a difference of k elements leaves a known number of subsets alike, classes with
-fewer open buckets than that leave (strangers that share a passage mostly do);
+linked sets share ``spare`` signatures, classes with fewer open buckets than that
+leave (strangers that share a passage mostly do);
 in the families that the rest chains, the members outside the largest component are
 compared with the others, in blocks inside the tasks, as no other pair can change
-a component.  Blocks hold parity bitmaps of the sets (about two bits a shingle):
+a component.  Families come from the rows of the buckets, by least labels and one
+contraction, so no bucket is opened to its pairs.  Blocks hold parity bitmaps of the sets (about two bits a shingle):
 where two bitmaps differ in more bits than two linked sets differ in shingles, the
-pair cannot link; the other pairs are verified on the sets.  Sets travel as 48-bit digests of their shingles, and only those of
-classes that share a signature.
+pair cannot link; the other pairs are verified on the sets.
 
 Defined results: null texts and texts without words are empty sets, linked with
 nothing, each its own component; rows with one doc_id are one node, so all of them
@@ -40,6 +43,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -56,11 +60,8 @@ NUM, DEN = 85, 100
 N2, K2 = 2, 1
 SPLITS = 6
 BLOCK = 1024
-MAX_CLASHES = 10_000
 #: Rounds in which classes with too few shared signatures leave.
-THIN = 3
-#: More signatures than any set has, for bands in which it does not sign.
-NEVER = 2**40
+THIN = 2
 #: Rows of ids (16 to 60 bytes each) up to which a side is broadcast; a shuffle join beyond.
 SMALL_ROWS = 1_000_000
 
@@ -135,16 +136,24 @@ class Bands:
         i = int(np.searchsorted(self.low, n, "right")) - 1
         return [i, i + 1] if n * self.den // self.num >= self.low[i + 1] else [i]
 
+    def differ(self, n: int, band: int) -> int:
+        """Elements in which a set of n and a partner of the band differ at most."""
+        largest = self.low[band + 1] - 1
+        return (self.den - self.num) * (n + min(n * self.den // self.num, largest)) // (self.den + self.num)
+
+    @cache
     def plan(self, band: int) -> tuple[int, int, int]:
-        """(k, n1, t): differing elements, partitions, empty ones to spare."""
+        """(k, n1, spare): most differing elements, partitions, signatures that linked sets share."""
         largest = self.low[band + 1] - 1
-        k = (self.den - self.num) * 2 * largest // (self.den + self.num)
-        parts = self.n2 * (k // (self.k2 + 1) + 1)
-        # Empty subsets to expect in the smallest set that signs for the band.
-        smallest = largest * (self.num / self.den) ** 3
-        empty = parts * math.exp(-smallest / parts * (self.n2 - self.k2))
-        t = 1 + math.ceil(empty + 1.5 * math.sqrt(empty))
-        return k, k // (self.k2 + 1) + 1 + t, t
+        k = self.differ(largest, band)
+        spare = 4 + k // 12
+        parts = k + spare
+        while parts < 2 * largest:  # the largest sets find enough parts that hold something
+            empty = parts * math.exp(-largest / parts)
+            if parts - empty - 1.5 * math.sqrt(empty) >= k + spare:
+                break
+            parts += 1 + parts // 50
+        return k, -(-parts // self.n2), spare
 
 
 def partition_sums(h: np.ndarray, n1: int, n2: int, k2: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,45 +170,34 @@ def partition_sums(h: np.ndarray, n1: int, n2: int, k2: int, seed: int) -> tuple
     return mix(total ^ mix(place + U(seed))), count
 
 
-def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a set."""
-    out = []
+def signatures(h: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set, and with each of the first split how many of its kind the
+    set shares with any partner (0 for the other splits)."""
+    sigs, least = [], []
+    each = math.comb(bands.n2 - 1, bands.k2)
     for band in bands.of(len(h)) if len(h) else []:
-        k, n1, t = bands.plan(band)
-        if k == 0:
+        _, n1, spare = bands.plan(band)
+        spoiled = each * bands.differ(len(h), band)
+        if not spoiled:
             continue  # only equal sets qualify, and those are one class
         for split in range(SPLITS):
             sig, count = partition_sums(h, n1, bands.n2, bands.k2, split_seed(band, split))
             sig = (sig & ~U(3)) | U(2 * (band & 1) + (split > 0))
-            out.append(sig[count > 0])
-            if (count == 0).sum() <= t:
+            at = np.flatnonzero(count > 0)[: spoiled + spare]
+            need = min(spare, len(at) - spoiled)
+            if split == SPLITS - 1 and need < 1:
+                at = np.arange(len(sig))
+            sigs.append(sig[at])
+            least.append(np.full(len(at), max(need, 0) if split == 0 else 0, np.int16))
+            if need > 0:
                 break
-        else:
-            out.append(sig[count == 0])
-    return np.concatenate(out) if out else np.empty(0, U)
+    return (np.concatenate(sigs), np.concatenate(least)) if sigs else (np.empty(0, U), np.empty(0, np.int16))
 
 
 def split_seed(band: int, split: int) -> int:
     return 0x5851F42D4C957F2D * (SPLITS * band + split + 1) % 2**64
 
 
-def needs(h: np.ndarray, bands: Bands) -> tuple[int, int]:
-    """Signatures of the first split that a set shares with any partner, for even
-    and odd bands.
-
-    k differing elements touch at most k subsets of single partitions; all other
-    subsets agree, and only the empty ones among them do not sign.
-    """
-    out = [NEVER, NEVER]
-    for band in bands.of(len(h)) if len(h) else []:
-        k, n1, _ = bands.plan(band)
-        if k:
-            _, count = partition_sums(h, n1, bands.n2, bands.k2, split_seed(band, 0))
-            each = math.comb(bands.n2 - 1, bands.k2)
-            out[band & 1] = len(count) - k * each - int((count == 0).sum())
-    return out[0], out[1]
-
-
 def pack(h: np.ndarray) -> bytes:
     """Low 48 bits of each digest, six bytes for each."""
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -223,76 +221,71 @@ def class_keys(h: np.ndarray) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
-def class_id(keys: tuple[int, int], clashes: frozenset[int]) -> int:
-    """The first digest; both, for the few sets that share a first one."""
-    if keys[0] not in clashes:
-        return keys[0]
-    return int(mix(np.array(keys, np.int64).view(U)).sum(dtype=U).astype(np.int64))
-
-
-def set_keys(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2) of every document."""
+def set_table(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, h) of every document: size, two digests and the
+    packed set; h is null for copies of what the task has met, and without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:  # Arrow keeps whole numbers beside nulls
-            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
-            keys = [class_keys(h) for h in sets]
-            counts = ([len(h) for h in sets], [a for a, _ in keys], [b for _, b in keys])
+            counts, firsts, seconds, packed = [], [], [], []
+            for text, known in zip(batch.column("text").to_pylist(), batch.column("doc_id").is_valid().to_pylist(), strict=True):
+                h = shingle_set(text, k)
+                keys = class_keys(h)
+                new = known and len(h) > 0 and keys not in seen
+                if new:
+                    seen.add(keys)
+                counts.append(len(h))
+                firsts.append(keys[0])
+                seconds.append(keys[1])
+                packed.append(pack(h) if new else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "n_shingles", "k1", "k2"]
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (counts, firsts, seconds)), pa.array(packed, pa.binary())],
+                names=["doc_id", "n_shingles", "k1", "k2", "h"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, h binary")
+
+
+def with_classes(table: DataFrame) -> DataFrame:
+    """``table`` with the class id ``cid`` of each set: its first digest, or a hash of
+    both for the few first digests that different sets share."""
+    clash = table.groupBy("k1").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi").select("k1", F.lit(True).alias("clash"))
+    clash = durable(clash)
+    if clash.isEmpty():
+        return table.withColumn("cid", F.col("k1"))
+    marked = table.join(small(clash), "k1", "left")
+    return marked.withColumn("cid", F.when(F.col("clash"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("clash")
 
 
-def signed(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
-    """(sig, cid) of every class, once in each task that meets it."""
+def signed(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, cid, need) of every row of ``sets(cid, h)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for batch in batches:
-            sigs, cids = [], []
-            for text in batch["text"]:
-                h = shingle_set(text, k)
-                cid = class_id(class_keys(h), clashes)
-                if len(h) and cid not in seen:
-                    seen.add(cid)
-                    s = np.unique(signatures(h, bands)).view(np.int64)
-                    sigs.append(s)
-                    cids.append(np.full(len(s), cid, np.int64))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "cid": np.concatenate(cids)})
+            made = [signatures(unpack(h), bands) for h in batch["h"]]
+            sizes = [len(s) for s, _ in made]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    "sig": np.concatenate([s for s, _ in made]).view(np.int64), "cid": np.repeat(batch["cid"].to_numpy(), sizes),
+                    "need": np.concatenate([x for _, x in made]),
+                })
 
-    return docs.select("text").mapInPandas(run, "sig long, cid long")
+    return sets.select("cid", "h").mapInPandas(run, "sig long, cid long, need short")
 
 
-def bucket_members(docs: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
-    """(sig, cid) of every signature that several classes share."""
+def bucket_members(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, cid, need, m) of every signature that several classes share, m rows in all."""
     bucket = Window.partitionBy("sig")
+    before = F.lag("cid").over(bucket.orderBy("cid"))
     return (
-        signed(docs, clashes, bands, k).withColumns({"lo": F.min("cid").over(bucket), "hi": F.max("cid").over(bucket)})
-        .where("lo < hi").select("sig", "cid").distinct()
+        signed(sets, bands).withColumn("twice", F.coalesce(before == F.col("cid"), F.lit(False)))
+        .withColumns({"lo": F.min("cid").over(bucket), "hi": F.max("cid").over(bucket), "m": F.count("*").over(bucket)})
+        .where("lo < hi and not twice").select("sig", "cid", "need", "m")
     )
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], bands: Bands, k: int = SHINGLE) -> DataFrame:
-    """(cid, n, even, odd, h) for the rows in ``wanted(doc_id)``: size, what
-    ``needs`` gives, and the packed set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch["text"]]
-            least = [needs(h, bands) for h in sets]
-            yield pd.DataFrame({
-                "cid": [class_id(class_keys(h), clashes) for h in sets], "n": [len(h) for h in sets],
-                "even": [x for x, _ in least], "odd": [x for _, x in least], "h": [pack(h) for h in sets],
-            })
-
-    picked = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
-    return picked.select("text").mapInPandas(run, "cid long, n long, even long, odd long, h binary")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     num, den = bands.num, bands.den
@@ -318,10 +311,8 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(node, comp) of all classes that link, from bucket memberships (sig, cid)."""
-    sizes = members.groupBy("sig").agg(F.count("*").alias("m"))
-    degree = members.join(sizes, "sig").groupBy("cid").agg(F.sum("m").alias("pop"))
-    known = durable(members.join(degree, "cid"))
+    """(node, comp) of all classes that link, from bucket memberships (sig, cid, need, m)."""
+    known = durable(members.withColumn("pop", F.sum("m").over(Window.partitionBy("cid"))).drop("m"))
     centre = known.groupBy("sig").agg(F.max(F.struct("pop", "cid")).alias("p"))
     # Candidates of each class: the centres of its buckets, the best one first.
     stars = durable(
@@ -331,15 +322,9 @@ def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataF
     links = durable(verified(first, sets, bands))
     comp = components(links)
     # Buckets that hold several components; their members chain to families.
-    rows = thinned(durable(
-        known.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    ), sets)
-    centre = rows.groupBy("sig").agg(F.max(F.struct("pop", "cid")).alias("p"))
-    still = durable(
-        rows.join(centre, "sig").where("cid <> p.cid").select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct()
-    )
-    family = components(still).select(F.col("node").alias("cid"), F.col("comp").alias("family"))
-    marks = durable(bitmaps(sets))
+    named = known.select("sig", "cid", "need").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+    family = durable(families(thinned(named.withColumn("comp", F.coalesce("comp", "cid")))))
+    marks = durable(bitmaps(sets.join(small(family), "cid", "left_semi")))
     # First the closest member of each other component, then all that is still open.
     for closest in (True, False):
         more = durable(verified(open_pairs(family, comp, marks, closest, bands), sets, bands))
@@ -349,25 +334,41 @@ def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataF
     return comp
 
 
-def thinned(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (sig, cid, pop, comp) that can still show a link between components.
+def thinned(rows: DataFrame) -> DataFrame:
+    """Rows (sig, cid) that can still show a link between components, of rows (sig,
+    cid, need, comp).
 
     Buckets with one component go; so do classes with fewer open buckets of the
-    first split than a partner must share with them (``needs``), and that again
+    first split than a partner must share with them (``need``), and that again
     on what is left.  Both sides of a link between components always stay.
     """
-    least = sets.select("cid", "even", "odd")
-    for step in range(THIN + 1):
+    mine = Window.partitionBy("cid")
+    first, odd = F.col("sig").bitwiseAND(1) == 0, F.col("sig").bitwiseAND(2) > 0
+    for _ in range(THIN):
         open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        rows = durable(rows.join(open_, "sig", "left_semi"))
-        if step == THIN:
-            return rows
-        first, odd = F.col("sig").bitwiseAND(1) == 0, F.col("sig").bitwiseAND(2) > 0
-        alive = (
-            rows.groupBy("cid").agg(F.count_if(first & ~odd).alias("x"), F.count_if(first & odd).alias("y"))
-            .join(least, "cid").where("x >= even or y >= odd").select("cid")
-        )
-        rows = rows.join(alive, "cid", "left_semi")
+        counted = rows.join(open_, "sig", "left_semi").withColumns({
+            "x": F.count_if(first & ~odd).over(mine), "y": F.count_if(first & odd).over(mine),
+        })
+        enough = F.max(F.when(odd, F.col("y")).otherwise(F.col("x")) >= F.col("need")).over(mine)
+        rows = durable(counted.withColumn("alive", enough).where("alive").drop("x", "y", "alive"))
+    open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return rows.join(open_, "sig", "left_semi").select("sig", "cid")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """(cid, family) of classes that shared buckets ``rows(sig, cid)`` chain together.
+
+    Every class takes the least class of its buckets as its label; buckets that
+    still hold several labels link those, which are few.
+    """
+    rows = durable(rows)
+    least = rows.groupBy("sig").agg(F.min("cid").alias("lo"))
+    told = durable(rows.join(least, "sig").withColumn("label", F.min("lo").over(Window.partitionBy("cid"))).select("sig", "cid", "label"))
+    open_ = told.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("sig", "a")
+    links = told.select("sig", "label").join(open_, "sig").where("label <> a").select("a", F.col("label").alias("b")).distinct()
+    comp = components(durable(links)).withColumnRenamed("node", "label")
+    one = told.select("cid", "label").distinct()
+    return one.join(comp, "label", "left").select("cid", F.coalesce("comp", "label").alias("family"))
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -474,22 +475,16 @@ def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     """(doc_id, n_shingles, component_id) of every document; sets of word ``k``-grams
     link from a Jaccard similarity of ``num / den`` on."""
     bands = Bands(num, den)
-    keys = durable(set_keys(docs, k))
-    clash = keys.groupBy("k1").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi")
-    clashes = frozenset(r["k1"] for r in clash.select("k1").limit(MAX_CLASHES + 1).collect())
-    if len(clashes) > MAX_CLASHES:
-        raise ValueError("too many digest clashes")
-    if clashes:
-        listed = F.udf(lambda a, b: class_id((a, b), clashes), "long")
-        keys = durable(keys.withColumn("cid", listed("k1", "k2")))
-    else:
-        keys = keys.withColumn("cid", F.col("k1"))
-    docs, filled = docs.where("doc_id is not null"), keys.where("n_shingles > 0 and doc_id is not null")
+    table = with_classes(durable(set_table(docs, k)))
+    keys = table.drop("h")
+    filled = keys.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("cid").agg(F.min("doc_id").alias("rep"))
 
-    members = durable(bucket_members(docs, clashes, bands, k))
-    wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("rep").alias("doc_id"))
-    sets = class_sets(docs, durable(wanted), clashes, bands, k)
+    kept = table.where("h is not null").select("cid", F.col("n_shingles").alias("n"), "doc_id", "h")
+    members = durable(bucket_members(kept, bands))
+    # One row of each class that shares a signature holds its set.
+    holder = kept.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).join(members.select("cid").distinct(), "cid", "left_semi")
+    sets = kept.join(small(durable(holder)), ["cid", "doc_id"], "left_semi").select("cid", "n", "h")
     again = durable(keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     repeats = not again.isEmpty()
     if repeats:
