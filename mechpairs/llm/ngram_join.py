@@ -116,10 +116,13 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     if not len(w):
         return w
     width = min(k, len(w))
-    h = np.full(len(w) - width + 1, width, U)
-    for j in range(width):
-        h = mix(h * U(_BASE) + w[j : len(w) - width + 1 + j])
-    return np.unique(h)
+    n = len(w) - width + 1
+    h = w[:n] + U(width)
+    for j in range(1, width):
+        h *= U(_BASE)
+        h += w[j : n + j]
+    h = np.sort(mix(h))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 class Bands:
@@ -158,9 +161,10 @@ class Bands:
 
 def partition_sums(h: np.ndarray, n1: int, n2: int, k2: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Signature and element count of each enumerated subset."""
-    part = (mix(h ^ U(seed)) % U(n1 * n2)).astype(np.int64)
+    m = mix(h ^ U(seed))
+    part = (((m >> U(32)) * U(n1 * n2)) >> U(32)).astype(np.int64)  # n1 * n2 parts of equal share
     sums = np.zeros(n1 * n2, U)
-    np.add.at(sums, part, mix(h + U(seed)))
+    np.add.at(sums, part, m)
     counts = np.bincount(part, minlength=n1 * n2)
     sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
     subsets = list(combinations(range(n2), n2 - k2))
@@ -217,8 +221,9 @@ def small(table: DataFrame) -> DataFrame:
 
 def class_keys(h: np.ndarray) -> tuple[int, int]:
     """Two digests of a set, as signed longs."""
-    a = mix(np.array([mix(h).sum(dtype=U) + U(len(h)), mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=U)], U)).view(np.int64)
-    return int(a[0]), int(a[1])
+    a = np.array([h.sum(dtype=U) + U(len(h)), mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=U)], U)
+    first, second = mix(a).view(np.int64).tolist()
+    return first, second
 
 
 def set_table(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
