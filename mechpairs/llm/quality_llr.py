@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, SPACES, let, read_table, words
+from .common import SPACES, let, read_table, words
 
 BUCKETS = 8192
 THRESHOLD = -0.3
@@ -26,23 +26,20 @@ SYMBOLS = "#*$%&|<>"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters or digits, and runs of other signs."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "([^\\p{L}\\p{N}\\s]+)", " $1 ")
-    return F.array_remove(F.split(F.lower(spaced), "\\s+"), "")
+    signs = "a-z0-9\\p{L}\\p{N}"  # a-z and 0-9 are letters and digits too, but found faster
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{signs}]+|[^{signs}\\s]+"), F.lit(0))
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of all token unigrams and bigrams of a text."""
-    m = F.lit(buckets)
-    return let(
-        tokens(text),
-        lambda t: F.concat(
-            F.transform(t, lambda w: F.pmod(F.xxhash64(w), m).cast("int")),
-            F.transform(
-                F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
-                lambda w, i: F.pmod(F.xxhash64(F.get(t, i), w), m).cast("int"),
-            ),
-        ),
-    )
+def token_pairs(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep, w, v): each token and the one after it (null for the last), one row for
+    each; one row of nulls for a text without tokens."""
+    listed = docs.select(*keep, tokens(text).alias("_t"))
+    after = F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1)))
+    return listed.select(*keep, F.explode_outer(F.arrays_zip(F.col("_t").alias("w"), after.alias("v"))).alias("_z")).select(*keep, "_z.w", "_z.v")
+
+
+def bucket(buckets: int, *tokens_: Column) -> Column:
+    return F.pmod(F.xxhash64(*tokens_), F.lit(buckets)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, cap: int = MAX_TRUSTED) -> DataFrame:
@@ -60,9 +57,10 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing:
     ``buckets`` numbers whatever the corpus size.
     """
     flag = F.broadcast(trusted.select("doc_id").withColumn("good", F.lit(1)))
+    marked = docs.select("doc_id", "text").join(flag, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    both = F.array(bucket(buckets, F.col("w")), F.when(F.col("v").isNotNull(), bucket(buckets, F.col("w"), F.col("v"))))
     counts = (
-        docs.select("doc_id", "text").join(flag, "doc_id", "left")
-        .select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("b"))
+        token_pairs(marked, F.col("text"), "good").where("w is not null").select("good", F.explode(both).alias("b")).where("b is not null")
         .groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     )
     a = F.lit(float(smoothing))
@@ -80,16 +78,10 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing:
     return list(model["llr"]) if model["t"] else [0.0] * buckets
 
 
-def llr_score(text: Column, model: list[float]) -> Column:
-    """Mean log ratio over the n-grams of a text; 0 without any."""
+def log_ratio(model: list[float], *tokens_: Column) -> Column:
+    """Log ratio of one n-gram."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    return let(
-        ngram_buckets(text, len(model)),
-        lambda b: F.when(
-            F.size(b) > 0,
-            F.aggregate(b, F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.size(b),
-        ).otherwise(F.lit(0.0)),
-    )
+    return F.get(table, bucket(len(model), *tokens_))
 
 
 def repeat_words(ws: Column) -> Column:
@@ -117,13 +109,12 @@ def repeat_words(ws: Column) -> Column:
 def rule_columns(text: Column) -> Column:
     """Struct of the rule counts of one whole text."""
     t = F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(t, SPACE_RE, "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     return let(
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(bare).cast("long").alias("word_chars"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
@@ -132,14 +123,25 @@ def rule_columns(text: Column) -> Column:
 
 
 
-
 def apply_rules(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """Every document with rule counts, score and verdict."""
-    r = F.col("r")
-    failed = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
+    """Every document with rule counts, score and verdict.
+
+    The n-grams of a text are rows of one task, so their sums are complete before
+    the shuffle, which moves one row for each document.
+    """
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    ruled = docs.select("doc_id", "text", rule_columns(F.col("text")).alias("r")).select(
+        "doc_id", "text", *(F.col("r")[c].alias(c) for c in counts), F.monotonically_increasing_id().alias("_row")
+    )
+    each = token_pairs(ruled, F.col("text"), "_row", "doc_id", *counts)
+    w, v = F.col("w"), F.col("v")
+    one, two = F.when(w.isNotNull(), log_ratio(model, w)), F.when(v.isNotNull(), log_ratio(model, w, v))
+    n = F.count("w") + F.count("v")
+    score = F.when(n > 0, (F.coalesce(F.sum(one), F.lit(0.0)) + F.coalesce(F.sum(two), F.lit(0.0))) / n).otherwise(F.lit(0.0))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        docs.select("doc_id", rule_columns(F.col("text")).alias("r"), llr_score(F.col("text"), model).alias("score"))
-        .select("doc_id", "r.*", F.round("score", 6).alias("score"), failed.alias("base_failed"))
+        each.groupBy("_row", "doc_id", *counts).agg(F.round(score, 6).alias("score"))
+        .select("doc_id", *counts, "score", failed.alias("base_failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
     )
 
