@@ -10,8 +10,8 @@ The templates are a parameter of bounded size, so their side is broadcast and
 the corpus is not shuffled; only hits are.
 
 Defined results: null and empty texts have no words, labels or places and score
-0; rows that share a doc_id are read as one document when hits are counted;
-other columns are ignored.
+0; rows are told apart by doc_id and a hash of the text, so texts that share an id, or
+have none, are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,32 +74,32 @@ def template_grams(spark: SparkSession, base=BASE, extra=TEMPLATES, k: int = K)
 def diagonals(docs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
     """Votes for each document, template and diagonal."""
     hits = (
-        docs.select("doc_id", let(license_words(F.col("text")), lambda w: grams(w, k)).alias("g"))
-        .select("doc_id", F.posexplode("g").alias("pos", "gram"))
+        docs.select("doc_id", F.xxhash64("text").alias("own"), let(license_words(F.col("text")), lambda w: grams(w, k)).alias("g"))
+        .select("doc_id", "own", F.posexplode("g").alias("pos", "gram"))
         .withColumn("h", F.xxhash64("gram"))
         .join(F.broadcast(templates), ["h", "gram"])
     )
-    return hits.groupBy("doc_id", "tpl", "label", "is_base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
+    return hits.groupBy("doc_id", "own", "tpl", "label", "is_base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
         F.collect_set("tpos").alias("tpos")
     )
 
 
 def verified_spans(votes: DataFrame, min_cover: float = MIN_COVER, max_shift: int = MAX_SHIFT) -> DataFrame:
-    """Spans (doc_id, label, is_base, start, cover) that hold.
+    """Spans (doc_id, own, label, is_base, start, cover) that hold.
 
     A base phrase needs all its k-grams on one diagonal.  Other templates may
     shift by inserted or missing words: diagonals at most ``max_shift`` apart
     are merged and must cover ``min_cover`` of the template's k-grams.
     """
     exact = votes.where(F.col("is_base") & (F.size("tpos") == F.col("n_grams"))).select(
-        "doc_id", "label", "is_base", F.col("diag").cast("long").alias("start"), F.lit(1.0).alias("cover")
+        "doc_id", "own", "label", "is_base", F.col("diag").cast("long").alias("start"), F.lit(1.0).alias("cover")
     )
-    w = Window.partitionBy("doc_id", "tpl").orderBy("diag")
+    w = Window.partitionBy("doc_id", "own", "tpl").orderBy("diag")
     merged = (
         votes.where(~F.col("is_base"))
         .withColumn("new", (F.coalesce(F.col("diag") - F.lag("diag").over(w), F.lit(max_shift + 1)) > max_shift).cast("int"))
         .withColumn("chain", F.sum("new").over(w))
-        .groupBy("doc_id", "tpl", "label", "is_base", "n_grams", "chain")
+        .groupBy("doc_id", "own", "tpl", "label", "is_base", "n_grams", "chain")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("hit"),
             F.min(F.col("diag") + F.array_min("tpos")).cast("long").alias("start"),
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """Every document with its base places, labels and score."""
     spans = verified_spans(durable(diagonals(docs, templates)))
     base = F.col("is_base")
-    found = spans.groupBy(F.col("doc_id").alias("id")).agg(
+    found = spans.groupBy(F.col("doc_id").alias("id"), F.col("own").alias("own_text")).agg(
         F.sum(base.cast("long")).alias("n_base"),
         F.min(F.when(base, F.col("start"))).alias("first_word"),
         F.max(F.when(base, F.col("start"))).alias("last_word"),
@@ -122,8 +122,8 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    sizes = docs.select("doc_id", F.size(license_words(F.col("text"))).cast("long").alias("n_words"))
-    return sizes.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("own"), F.size(license_words(F.col("text"))).cast("long").alias("n_words"))
+    return sizes.join(found, (F.col("own") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),

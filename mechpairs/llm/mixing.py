@@ -1,9 +1,11 @@
 """Mixing sources to target weights: iterative proportional fitting.
 
-Documents are counted into (source, language, topic) cells of tokens.  Cell
-weights are raked in turn to the three target marginals; documents are then
-sampled with probability proportional to their cell's weight, calibrated so
-that the expected number of kept tokens meets the budget.
+Documents are counted into (source, language, topic) cells of tokens.  The cells'
+probabilities start at the share of tokens to keep and are raked in turn to the three
+target marginals, each step cut at one, until no probability moves by more than
+``TOLERANCE`` of itself; documents are then sampled by their cell's probability.  So
+marginals are met under the cut, not before it; what a value cannot reach with all
+its cells at one stays open, and ``residuals`` shows it.
 
 The corpus is read twice, without moving texts: once for the cell counts (partial
 sums before the shuffle, so a hot source costs nothing), once to attach
@@ -11,9 +13,9 @@ probabilities.  Cells, not rows, go through the iterations.
 
 Defined results: a null source or language is the value ``unknown``; null or
 empty texts have no tokens, count for nothing and are kept with their cell's
-probability; values without a target get the share they have; an empty table
-gives an empty result; repeated rows share their fate, as the draw is a hash of
-doc_id (null counts as an id).
+probability (one, if the cell holds no tokens); values without a target get the share
+they have; an empty table gives an empty result; repeated rows share their fate, as
+the draw is a hash of doc_id (null counts as an id).
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, read_table, words
 
-ROUNDS = 8
+#: Raking rounds at most, and the relative change of a probability that ends them.
+ROUNDS = 60
+TOLERANCE = 0.001
 KEEP_SHARE = 0.5
 SOURCE_POWER = 0.7
 LANG_TARGET = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -51,7 +55,7 @@ def topic(text: Column) -> Column:
 
 
 def target(cells: DataFrame, dim: str, given: dict[str, float] | None, power: float) -> DataFrame:
-    """(dim, want): target share of each value.
+    """(dim, share): target share of each value; the shares sum to one.
 
     Given shares hold for the values listed, others get their own share of
     tokens; without given shares the token share is flattened by ``power``.
@@ -65,47 +69,42 @@ def target(cells: DataFrame, dim: str, given: dict[str, float] | None, power: fl
             share = F.when(F.col(dim) == k, F.lit(float(v))).otherwise(share)
         total = cells.agg(F.sum("tokens")).first()[0] or 1
         raw = F.coalesce(share, F.col("t") / F.lit(float(total)))
-    return by.where(F.col("t") > 0).select(dim, raw.alias("raw"))
+    raws = by.where(F.col("t") > 0).select(dim, raw.alias("raw"))
+    whole = raws.agg(F.sum("raw")).first()[0] or 1.0
+    return raws.select(dim, (F.col("raw") / F.lit(float(whole))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with the factor ``w`` that fits tokens * w to the marginals.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float = KEEP_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` that hold tokens, with the probability ``p`` that fits tokens * p to
+    the marginals, and the wanted tokens of their values (``want_<dim>``).
 
-    Every step groups the cells by one dimension and joins the ratio back; the
-    cells are written out now and then to keep the plan short.
+    Every step groups the cells by one dimension and joins the sums back; the cells
+    are written once a round, which keeps the plan short.
     """
-    fitted = cells.where("tokens > 0").withColumn("w", F.lit(1.0))
-    wants = {d: durable(t) for d, t in targets.items()}
+    fitted = cells.where("tokens > 0")
+    budget = keep_share * (fitted.agg(F.sum("tokens")).first()[0] or 0)
+    for dim, shares in targets.items():
+        fitted = fitted.join(shares.select(dim, (F.col("share") * F.lit(budget)).alias(f"want_{dim}")), dim)
+    fitted = durable(fitted.withColumn("p", F.lit(float(keep_share))))
     for _ in range(rounds):
+        step = fitted.withColumn("old", F.col("p"))
         for dim in DIMS:
-            have = fitted.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("w")).alias("have"))
-            ratio = have.join(wants[dim], dim).select(dim, (F.col("raw") / F.col("have")).alias("ratio"))
-            fitted = fitted.join(ratio, dim).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio")
-        fitted = durable(fitted)
+            have = step.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
+            step = step.join(have, dim).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col(f"want_{dim}") / F.col("have"))).drop("have")
+        step = durable(step)
+        fitted = step.drop("old")
+        if step.where(F.abs(F.col("p") - F.col("old")) > TOLERANCE * F.col("old")).isEmpty():
+            break
     return fitted
 
 
-def calibrate(fitted: DataFrame, keep_share: float = KEEP_SHARE, rounds: int = 30) -> float:
-    """Scale c so that sum(tokens * min(1, c * w)) is the budget.
-
-    Cells at probability one are taken out in turn; one row of sums reaches the
-    driver in each round.
-    """
-    c = 0.0
-    for _ in range(rounds):
-        full = F.col("w") * F.lit(c) >= 1
-        s = fitted.agg(
-            F.sum("tokens").alias("all"),
-            F.sum(F.when(full, F.col("tokens"))).alias("full"),
-            F.sum(F.when(~full, F.col("tokens") * F.col("w"))).alias("open"),
-        ).first()
-        if not s["all"] or not s["open"]:
-            return c
-        new = (keep_share * s["all"] - (s["full"] or 0)) / s["open"]
-        if new <= c * (1 + 1e-12):
-            return c
-        c = new
-    return c
+def residuals(fitted: DataFrame) -> DataFrame:
+    """(dim, value, want, have): wanted and expected tokens of every value."""
+    have = F.sum(F.col("tokens") * F.col("p")).alias("have")
+    parts = [
+        fitted.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.max(f"want_{d}").alias("want"), have) for d in DIMS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -122,17 +121,20 @@ def cell_columns() -> list[Column]:
     ]
 
 
-def probabilities(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """(source, lang, topic, p) of every cell that holds tokens."""
+def fitted_cells(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """Raked cells of a corpus."""
     feats = docs.select(*cell_columns(), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     cells = durable(feats.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = rake(cells, {
+    return rake(cells, {
         "source": target(cells, "source", None, SOURCE_POWER),
         "lang": target(cells, "lang", LANG_TARGET, 1.0),
         "topic": target(cells, "topic", TOPIC_TARGET, 1.0),
-    })
-    c = calibrate(fitted, keep_share)
-    return fitted.select(*DIMS, F.least(F.lit(1.0), F.col("w") * F.lit(c)).alias("p"))
+    }, keep_share)
+
+
+def probabilities(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """(source, lang, topic, p) of every cell that holds tokens."""
+    return fitted_cells(docs, keep_share).select(*DIMS, "p")
 
 
 def mix(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -156,3 +158,33 @@ def sample(docs: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same fit as a recursive query with windows in place of joins."""
+    def case(dim: str, given: dict[str, float]) -> str:
+        return f"CASE {dim} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in given.items()) + " ELSE t / (SELECT sum(tokens)::DOUBLE FROM c) END"
+
+    raws = {"source": f"pow(t::DOUBLE, {SOURCE_POWER}::DOUBLE)", "lang": case("lang", LANG_TARGET), "topic": case("topic", TOPIC_TARGET)}
+    wants = ",\n".join(
+        f"w_{d} AS (SELECT {d}, raw / sum(raw) OVER () * {KEEP_SHARE}::DOUBLE * (SELECT sum(tokens)::DOUBLE FROM c) AS want_{d} "
+        f"FROM (SELECT {d}, {raws[d]} AS raw FROM (SELECT {d}, sum(tokens)::DOUBLE AS t FROM c GROUP BY {d}) WHERE t > 0))" for d in DIMS
+    )
+    step, last = "r", "p"
+    for k, d in enumerate(DIMS):
+        step = f"(SELECT *, least(1.0::DOUBLE, {last} * want_{d} / sum(tokens * {last}) OVER (PARTITION BY {d})) AS p{k} FROM {step}{' WHERE open' if not k else ''})"
+        last = f"p{k}"
+    rules = " ".join("WHEN " + " OR ".join(f"contains(x, '{s}')" for s in signs) + f" THEN '{name}'" for name, signs in TOPIC_RULES)
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, CASE {rules} ELSE 'prose' END AS topic,
+  len(list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')) AS n_tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+{wants},
+r AS (SELECT 0 AS round, source, lang, topic, tokens, want_source, want_lang, want_topic, {KEEP_SHARE}::DOUBLE AS p, true AS open
+  FROM c JOIN w_source USING (source) JOIN w_lang USING (lang) JOIN w_topic USING (topic)
+  UNION ALL SELECT round + 1, source, lang, topic, tokens, want_source, want_lang, want_topic, {last},
+  max(abs({last} - p) > {TOLERANCE}::DOUBLE * p) OVER () FROM {step} WHERE round < {ROUNDS}),
+f AS (SELECT source, lang, topic, p FROM r WHERE round = (SELECT max(round) FROM r))
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 1.0::DOUBLE), 6) AS prob,
+  ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < coalesce(p, 1.0::DOUBLE) AS kept
+FROM d LEFT JOIN f USING (source, lang, topic)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, ngram_join, url_filter
+from . import license_scan, mixing, ngram_join, url_filter
 from .embed_dedup import op9_embed_dedup
 from .license_scan import op6_license_scan
 from .mil_quality import op10_quality_classifier
@@ -30,6 +30,7 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": mixing.oracle(),
         "op5_url_filter": url_filter.oracle(),
         "op6_license_scan": license_scan.oracle(),
         "op7_ngram_join": ngram_join.oracle(),

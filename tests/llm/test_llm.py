@@ -175,8 +175,51 @@ def test_held_out_accuracy(spark, run, label):
     assert (got.predicted == got[label]).mean() >= 0.9
 
 
-def test_raking_meets_marginals(spark):
-    rows = [(k, "w " * (5 + k % 7), "en" if k % 5 else "de", f"s{k % 3}", 1) for k in range(400)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 0.5).toPandas()
-    kept = (out.n_tokens * out.prob).groupby(out.lang).sum()
-    assert abs((out.n_tokens * out.prob).sum() / out.n_tokens.sum() - 0.5) < 0.01 and kept["en"] / kept["de"] == pytest.approx(2.5, rel=0.05)
+def plain_rake(cells, wants, keep):
+    """Probabilities of ``cells`` (a dict of tokens by values), in plain Python."""
+    p = dict.fromkeys(cells, keep)
+    for _ in range(mixing.ROUNDS):
+        old = dict(p)
+        for k, want in enumerate(wants):
+            have = {v: sum(cells[c] * p[c] for c in cells if c[k] == v) for v in want}
+            p = {c: min(1.0, p[c] * want[c[k]] / have[c[k]]) for c in cells}
+        if all(abs(p[c] - old[c]) <= mixing.TOLERANCE * old[c] for c in cells):
+            break
+    return p
+
+
+def test_raking_by_brute_force_and_marginals(spark):
+    rows = [(k, "w " * (5 + k % 7) + ("icense" if k % 11 == 0 else ""), "en" if k % 5 else "de", f"s{k % 3}", 1) for k in range(900)] + [(None, None, None, None, 0), (1, "", "xx", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(docs, 0.5).toPandas()
+    cells = out[out.n_tokens > 0].groupby(["source", "lang", "topic"]).n_tokens.sum().to_dict()
+    total, wants = sum(cells.values()), []
+    for k, (given, power) in enumerate([(None, mixing.SOURCE_POWER), (mixing.LANG_TARGET, 1), (mixing.TOPIC_TARGET, 1)]):
+        t = {v: sum(n for c, n in cells.items() if c[k] == v) for v in {c[k] for c in cells}}
+        raw = {v: (x**power if given is None else given.get(v, x / total)) for v, x in t.items()}
+        wants.append({v: x / sum(raw.values()) * 0.5 * total for v, x in raw.items()})
+    p = plain_rake(cells, wants, 0.5)
+    for r in out[out.n_tokens > 0].itertuples():
+        assert r.prob == pytest.approx(p[(r.source, r.lang, r.topic)], abs=2e-6)
+        assert r.kept == (int(hashlib.md5(f"mix-1|{int(r.doc_id)}".encode()).hexdigest()[:8], 16) / 2**32 < p[(r.source, r.lang, r.topic)])
+    left = mixing.residuals(mixing.fitted_cells(docs, 0.5)).toPandas()
+    assert ((left.want - left.have).abs() <= 0.01 * left.want).all()
+    assert out[out.n_tokens == 0].prob.tolist() == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op6_license_scan"])
+def test_query_equals_sql(spark, name):
+    from mechpairs.llm import registry
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    want = con.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_license_rows_that_share_an_id_are_apart(spark):
+    rows = [(1, "a under the mit"), (1, "b b the mit license"), (2, "x under the MIT license"), (2, "under the mit license y"), (None, "hello"), (None, "under the mit license"), (3, None), (3, "cc by nc"), (3, "cc by nc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, r.base_labels) for r in license_scan.scan(df, license_scan.template_grams(spark)).collect())
+    assert got == sorted([(1, 4, 0, -1, ""), (1, 5, 0, -1, ""), (2, 5, 1, 1, "mit"), (2, 5, 1, 0, "mit"), (0, 1, 0, -1, ""), (0, 4, 1, 0, "mit"), (3, 0, 0, -1, ""), (3, 3, 1, 0, "cc-by-nc"), (3, 3, 1, 0, "cc-by-nc")])
