@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read_table, runs
+from .common import durable, read_table, runs, slices, small_batches
 from .components import components
 
 SHINGLE = 4
@@ -232,7 +232,7 @@ def set_table(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:  # Arrow keeps whole numbers beside nulls
+        for batch in slices(batches):  # Arrow keeps whole numbers beside nulls
             counts, firsts, seconds, packed = [], [], [], []
             for text, known in zip(batch.column("text").to_pylist(), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 h = shingle_set(text, k)
@@ -267,17 +267,17 @@ def with_classes(table: DataFrame) -> DataFrame:
 def signed(sets: DataFrame, bands: Bands) -> DataFrame:
     """(sig, cid, need) of every row of ``sets(cid, h)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [signatures(unpack(h), bands) for h in batch["h"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [signatures(unpack(h), bands) for h in batch.column("h").to_pylist()]
             sizes = [len(s) for s, _ in made]
             if sum(sizes):
-                yield pd.DataFrame({
-                    "sig": np.concatenate([s for s, _ in made]).view(np.int64), "cid": np.repeat(batch["cid"].to_numpy(), sizes),
-                    "need": np.concatenate([x for _, x in made]),
-                })
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([s for s, _ in made]).view(np.int64)), pa.array(np.repeat(batch.column("cid").to_numpy(), sizes)),
+                    pa.array(np.concatenate([x for _, x in made])),
+                ], names=["sig", "cid", "need"])
 
-    return sets.select("cid", "h").mapInPandas(run, "sig long, cid long, need short")
+    return sets.select("cid", "h").mapInArrow(run, "sig long, cid long, need short")
 
 
 def bucket_members(sets: DataFrame, bands: Bands) -> DataFrame:
@@ -304,15 +304,14 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     left = sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")).join(small(close), "a")
     both = left.join(right.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            common = np.array([
-                len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(batch["ha"], batch["hb"], strict=True)
-            ], np.int64)
-            union = batch["na"].to_numpy() + batch["nb"].to_numpy() - common
-            yield batch.loc[den * common >= num * union, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ha, hb = (batch.column(c).to_pylist() for c in ("ha", "hb"))
+            common = np.array([len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(ha, hb, strict=True)], np.int64)
+            union = batch.column("na").to_numpy() + batch.column("nb").to_numpy() - common
+            yield batch.select(["a", "b"]).filter(pa.array(den * common >= num * union))
 
-    return both.select("a", "b", "na", "nb", "ha", "hb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -384,11 +383,12 @@ def bitmaps(sets: DataFrame) -> DataFrame:
         slots = (unpack(raw) & U(width - 1)).astype(np.int64)
         return np.packbits(np.bincount(slots, minlength=width) & 1, bitorder="little").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[["cid", "n"]].assign(bits=[bits(n, h) for n, h in zip(batch["n"], batch["h"], strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [bits(n, h) for n, h in zip(batch.column("n").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(made, pa.binary())], names=["cid", "n", "bits"])
 
-    return sets.mapInPandas(run, "cid long, n long, bits binary")
+    return sets.select("cid", "n", "h").mapInArrow(run, "cid long, n long, bits binary")
 
 
 def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bool, bands: Bands, block: int = BLOCK) -> DataFrame:
@@ -479,6 +479,7 @@ def same_ids(comp: DataFrame, rows: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; sets of word ``k``-grams
     link from a Jaccard similarity of ``num / den`` on."""
+    small_batches(docs.sparkSession)
     bands = Bands(num, den)
     table = with_classes(durable(set_table(docs, k)))
     keys = table.drop("h")
