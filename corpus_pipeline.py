@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("_row", row_key(docs))
     found = ngram_join.join_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE, NUM, DEN)
     kept = durable(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("_n")))
-    once = keyed.join(kept.where("_n = 1"), "_row", "left_semi").select(*docs.columns)
+    once = keyed.join(ngram_join.small(kept.where("_n = 1")), "_row", "left_semi").select(*docs.columns)
     more = kept.where("_n > 1")
     if more.isEmpty():
         return once
