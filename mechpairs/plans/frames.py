@@ -92,6 +92,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(right, F.col("family")).otherwise(next_family(F.col("family"))).alias("pred_family"),
         F.when(right & (hex_int(F.col("d"), 11, 1) < 13), F.col("subtype")).otherwise("other").alias("pred_subtype"),
         F.when(hex_int(F.col("d"), 10, 1) < 12, gold).otherwise("n/a").alias("pred_direction"),
+        F.when(right & (hex_int(F.col("d"), 12, 1) < 14), F.col("polarity")).otherwise("other").alias("pred_polarity"),
         (hex_int(F.col("d"), 9, 1) == 0).alias("abstain"),
         F.round(F.lit(0.5) * hex_int(F.col("d"), 5, 4) / 65535 + F.when(right, 0.5).otherwise(0.2), 3).alias("confidence"),
     )

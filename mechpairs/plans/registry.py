@@ -167,7 +167,8 @@ WHEN pred_direction <> direction THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END), 6) AS s
 register(
     "additive_score", lambda s, d: metrics.additive_score(forward(s, d)),
     """SELECT family, round(avg(CASE WHEN abstain THEN 0.0::DOUBLE ELSE (CASE WHEN pred_family = family THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN pred_subtype = subtype THEN 0.3::DOUBLE ELSE 0 END)
-+ (CASE WHEN pred_direction = direction THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN pred_family = family THEN 0.15::DOUBLE ELSE 0 END) END), 6) AS score
++ (CASE WHEN (CASE WHEN pred_direction IN ('a_to_b', 'b_to_a') THEN 'directed' ELSE pred_direction END) = (CASE WHEN direction IN ('a_to_b', 'b_to_a') THEN 'directed' ELSE direction END)
+THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN pred_polarity = polarity THEN 0.15::DOUBLE ELSE 0 END) END), 6) AS score
 FROM pred WHERE input_order = 'ab' GROUP BY family""",
 )
 register(

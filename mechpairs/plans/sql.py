@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+from ..functions.citations import ENZYME, FLAG
 from ..operators.taxonomy import CANONICAL, FAMILIES, RULES
 from .frames import N_CANDIDATES, TEMPLATES
+from .trace_frames import CLAIMS, CONTEXTS, EVIDENCE, N_STEPS
 
 
 def _quote(text: str) -> str:
@@ -43,6 +45,15 @@ def _hex(start: int, n: int) -> str:
     return f"('0x' || substr(d, {start}, {n}))::BIGINT"
 
 
+def _bare(e: str) -> str:
+    return f"trim(regexp_replace({e}, '\\s*=[\\s\\S]*$', ''))"
+
+
+def _norm(e: str) -> str:
+    t = f"replace(lower(trim({e})), '-', '_')"
+    return f"CASE WHEN regexp_matches({t}, '{FLAG}') THEN regexp_extract({t}, '{FLAG}', 1) || '_' || substr(regexp_extract({t}, '{FLAG}', 2), 1, 3) ELSE {t} END"
+
+
 _CANON = " ".join(f"WHEN family = '{f}' AND subtype = '{o}' THEN '{n}'" for (f, o), n in CANONICAL.items())
 _ID = "'P' || lpad({0}::VARCHAR, 9, '0')"
 
@@ -65,6 +76,7 @@ CTES = {
   CASE WHEN {_hex(1, 4)} < 45875 THEN family ELSE {_next('family')} END AS pred_family,
   CASE WHEN {_hex(1, 4)} < 45875 AND {_hex(11, 1)} < 13 THEN subtype ELSE 'other' END AS pred_subtype,
   CASE WHEN {_hex(10, 1)} < 12 THEN direction ELSE 'n/a' END AS pred_direction, {_hex(9, 1)} = 0 AS abstain,
+  CASE WHEN {_hex(1, 4)} < 45875 AND {_hex(12, 1)} < 14 THEN polarity ELSE 'other' END AS pred_polarity,
   round(0.5::DOUBLE * {_hex(5, 4)} / 65535 + CASE WHEN {_hex(1, 4)} < 45875 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END, 3) AS confidence
   FROM (SELECT l.*, o.input_order, md5(pair_id || '|' || input_order || '|p1') AS d,
   CASE WHEN bidirectional THEN 'bidirectional' WHEN (subject_id = a_id) = (input_order = 'ab') THEN 'a_to_b' ELSE 'b_to_a' END AS direction
@@ -92,6 +104,29 @@ CTES = {
 }
 
 
+def _list(values) -> str:
+    return "[" + ", ".join(_quote(v) for v in values) + "]::VARCHAR[]"
+
+
+CTES |= {
+    "steps_": f"""SELECT pair_id, family, pred_family, abstain, confidence, step_id,
+  CASE WHEN step_id = {N_STEPS} THEN 'conclusion' WHEN {_hex(1, 1)} < 7 THEN 'pk_flag' WHEN {_hex(1, 1)} < 13 THEN 'protein' ELSE 'evidence_gap' END AS role,
+  [{", ".join(_quote(c) for c in CLAIMS)}][({_hex(2, 1)} % {len(CLAIMS)} + 1)] AS claim, [{", ".join(_list(e) for e in EVIDENCE)}][({_hex(3, 1)} % {len(EVIDENCE)} + 1)] AS evidence,
+  CASE WHEN step_id = {N_STEPS} OR {_hex(4, 1)} >= 9 THEN pred_family ELSE family END AS hint, round({_hex(5, 4)}::DOUBLE / 65535, 3) AS score,
+  [{", ".join(_list(c) for c in CONTEXTS)}][(('0x' || substr(md5(pair_id || '|x1'), 1, 1))::BIGINT % 2 + 1)] AS context
+  FROM (SELECT p.*, k.step_id::INT AS step_id, md5(pair_id || '|' || k.step_id || '|s1') AS d FROM pred p, range(1, {N_STEPS + 1}) k(step_id) WHERE input_order = 'ab')""",
+    "expd": f"""SELECT DISTINCT context, list_distinct(flatten(list_transform(context, lambda c: [c, lower(c), upper(c), {_norm('c')}]
+  || CASE WHEN regexp_matches(regexp_extract(lower(c), '{FLAG}', 1), '{ENZYME}') THEN [regexp_extract(lower(c), '{FLAG}', 1), upper(regexp_extract(lower(c), '{FLAG}', 1))] ELSE [] END))) AS pool FROM steps_""",
+    "cited": f"""SELECT s.*, len(list_filter(evidence, lambda e: list_has_any([e, lower(e), {_bare('e')}, lower({_bare('e')}), {_norm('e')}], pool))) AS hit,
+  role NOT IN ('conclusion', 'abstention', 'evidence_gap') AND len(regexp_extract_all(claim, '\\S+')) >= 3 AS counted FROM steps_ s JOIN expd USING (context)""",
+    "hints": """SELECT pair_id, arg_max(hint, (n, -first)) AS winner, sum(n)::BIGINT AS n_hints, max(n) AS n_winner FROM (
+  SELECT pair_id, hint, count(*) AS n, min(step_id) AS first FROM steps_ WHERE role <> 'conclusion' GROUP BY ALL) GROUP BY pair_id""",
+    "ginp": f"""SELECT *, pred_family = family AS ok, CASE WHEN prm0 < 0.95 THEN prm0 END AS prm, round(-(CASE WHEN confidence > 0 THEN confidence * ln(confidence) ELSE 0 END
+  + CASE WHEN confidence < 1 THEN (1 - confidence) * ln(1 - confidence) ELSE 0 END), 6) AS entropy
+  FROM (SELECT *, round(('0x' || substr(md5(pair_id || '|g1'), 1, 4))::BIGINT::DOUBLE / 65535, 3) AS prm0 FROM pred WHERE input_order = 'ab')""",
+}
+
+
 def query(body: str) -> str:
     """``body`` after the frames that it names, directly or through others."""
     need: list[str] = []
