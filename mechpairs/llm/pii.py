@@ -285,7 +285,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect(read_table(spark, sf_dir, "documents"))
     kinds_found = F.transform("base", lambda c: c["k"])
     counts = [(F.size(kinds_found) - F.size(F.array_remove(kinds_found, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
-    return out.select("doc_id", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def masked(text: Column, all_spans: Column) -> Column:
