@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """The shared folder that the session names; a temporary one where it names none in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 def append_new(source: DataFrame, key: str, at: str, target: str, checkpoint: str, delay: str) -> None:
