@@ -3,7 +3,9 @@
 Every rule is a regular expression with the literal tokens it needs.  Token
 frequencies are counted over all URLs by a Spark job, each rule is filed under
 its rarest token, and a URL fetches only the rules filed under its own tokens
-(plus the few rules without a literal token).  Only those run.
+(plus the few rules without a literal token).  Only those run.  Tokens of host and
+path count alike; a rule's path gives those that something ends within the rule, as
+its last one may be the beginning of a longer token.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and no rule, and is allowed; repeated rows are judged one by one; other columns
@@ -41,7 +43,8 @@ def host_rule(verdict: str, target: str) -> Rule:
     """Rule ``host/path``: the host and its subdomains, by path prefix."""
     host, _, rest = target.partition("/")
     pattern = rf"^(?:[^/]*\.)?{re.escape(host)}\n{re.escape('/' + rest)}"
-    return Rule(target, verdict, pattern, tuple(TOKEN.findall(host)), (1, len(target)), True)
+    ended = re.findall("[a-z0-9]+(?=[^a-z0-9])", rest)
+    return Rule(target, verdict, pattern, (*TOKEN.findall(host), *ended), (1, len(target)), True)
 
 
 def word_rule(verdict: str, phrase: str) -> Rule:
@@ -79,7 +82,7 @@ def token_counts(parts: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     if not wanted:
         return {}
     rows = (
-        parts.select(F.explode(F.array_distinct(F.split("host", "[^a-z0-9]+"))).alias("token"))
+        parts.select(F.explode(F.array_distinct(F.split(F.concat_ws("\n", "host", "path"), "[^a-z0-9]+"))).alias("token"))
         .where(F.col("token").isin(wanted)).groupBy("token").count().collect()
     )
     return {r["token"]: r["count"] for r in rows}
@@ -112,9 +115,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
         for batch in batches:
             names, verdicts = [], []
             for h, p in zip(batch["host"], batch["path"], strict=True):
-                tokens = dict.fromkeys(TOKEN.findall(h))
+                place = f"{h}\n{p}"
+                tokens = dict.fromkeys(TOKEN.findall(place))
                 candidates = [r for t in tokens for r in by_token.get(t, ())] + always
-                fits = [r for r in candidates if compiled[r].search(f"{h}\n{p}")]
+                fits = [r for r in candidates if compiled[r].search(place)]
                 best = max(fits, key=lambda r: r.rank, default=None)
                 names.append(best.name if best and best.listed else None)
                 verdicts.append(best.verdict if best else default)
