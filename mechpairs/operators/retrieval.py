@@ -21,7 +21,8 @@ def token_similarity(sets: DataFrame, hub: int = 1000) -> DataFrame:
     tagged = rows.join(freq, "token").where("f > 1").withColumn("parts", F.ceil(F.col("f") / hub).cast("int"))
     left = tagged.select("token", F.col("entity").alias("x"), F.pmod(F.xxhash64("entity"), "parts").cast("int").alias("salt"))
     right = tagged.select("token", F.col("entity").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    shared = left.join(right, ["token", "salt"]).where("x <> y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    # Dealt by x once: counting and the top list of an entity need no other shuffle.
+    shared = left.join(right, ["token", "salt"]).where("x <> y").select("x", "y").repartition("x").groupBy("x", "y").agg(F.count("*").alias("shared"))
     a, b = (sizes.select(F.col("entity").alias(c), F.col("size").alias(f"n{c}")) for c in "xy")
     return shared.join(a, "x").join(b, "y").select("x", "y", "shared", F.round(F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared")), 6).alias("jaccard"))
 
