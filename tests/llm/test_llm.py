@@ -159,6 +159,14 @@ def test_url_rules_equal_sql(spark):
     assert got == set(con.sql(url_filter.oracle()).fetchall())
 
 
+def test_rules_are_filed_by_path_tokens():
+    """A rule's last path token may be the start of a longer one, so it is no key."""
+    by_token, always = url_filter.index_rules(url_filter.RULES, {"com": 90, "org": 80, "example": 50, "fr": 5, "de": 4, "es": 3, "en": 70})
+    filed = {r.name: t for t, rules in by_token.items() for r in rules}
+    assert (filed["com/fr/"], filed["com/de/"], filed["example.org/es/"], filed["example.org/en/1"], filed["org/"]) == ("fr", "de", "es", "example", "org")
+    assert not always
+
+
 def test_grammar_readings():
     lex = toxicity.Lexicon({"idiot$": 2.0}, frozenset())
     auto = lex.automaton()
