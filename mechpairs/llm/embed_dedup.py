@@ -123,6 +123,22 @@ def keyed(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, f"label {lab}, e array<double>, cid long, m long, keys array<long>")
 
 
+def share_earlier(keys: np.ndarray, key: int, width: int = 1024) -> np.ndarray:
+    """Which two rows of ``keys`` have a bucket number below ``key`` in common."""
+    values, at, rows = np.unique(keys, return_inverse=True, return_counts=True)
+    useful = np.flatnonzero((values < key) & (rows > 1))
+    place = np.full(len(values), -1)
+    place[useful] = np.arange(len(useful))
+    row, number = np.repeat(np.arange(len(keys)), keys.shape[1]), place[at.ravel()]
+    shared = np.zeros((len(keys), len(keys)), bool)
+    for start in range(0, len(useful), width):
+        mine = (number >= start) & (number < start + width)
+        has = np.zeros((len(keys), width), np.float32)
+        has[row[mine], number[mine] - start] = 1
+        shared |= has @ has.T > 0
+    return shared
+
+
 def group_links(rows: pd.DataFrame, least_cosine: float) -> list[tuple[int, int | None, int]]:
     """(a, b, links) of one pair of blocks: forest edges, then counts (b null)."""
     i, j, key = (rows[c].iloc[0] for c in ("bi", "bj", "key"))
@@ -136,12 +152,10 @@ def group_links(rows: pd.DataFrame, least_cosine: float) -> list[tuple[int, int
         a, b = left[a], right[b]
     if not len(a):
         return []
-    least = np.full(len(a), np.iinfo(np.int64).max)
-    for k in range(keys.shape[1]):
-        mine = keys[a, k]
-        shared = (keys[b] == mine[:, None]).any(axis=1)
-        least = np.where(shared, np.minimum(least, mine), least)
-    a, b = a[least == key], b[least == key]
+    met = np.union1d(a, b)
+    earlier = share_earlier(keys[met], key)
+    here = ~earlier[np.searchsorted(met, a), np.searchsorted(met, b)]
+    a, b = a[here], b[here]
     links = np.zeros(len(rows), np.int64)
     np.add.at(links, a, m[b])
     np.add.at(links, b, m[a])
