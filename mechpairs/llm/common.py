@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space, tab, LF, VT, FF, CR.
@@ -56,6 +56,18 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tallied(df: DataFrame, number: Column) -> tuple[DataFrame, int]:
+    """``durable(df)``, and an aggregate of its rows that the write itself computes."""
+    seen = Observation()
+    table = durable(df.observe(seen, number.alias("n")))
+    return table, int(seen.get.get("n") or 0)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``durable(df)`` and the number of its rows."""
+    return tallied(df, F.count(F.lit(1)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

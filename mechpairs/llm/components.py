@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, tallied
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +29,23 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp")
         )
         up = label.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        moved = durable(told.join(up, "comp", "left").select("node", "old", F.least("comp", "top").alias("comp")))
+        step = told.join(up, "comp", "left").select("node", "old", F.least("comp", "top").alias("comp"))
+        moved, changes = tallied(step, F.count_if(F.col("comp") != F.col("old")))
         label = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
+        if not changes:
             return label
+
+
+def widened(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp(node, comp)`` after the further ``links(a, b)``.
+
+    Only the components that the links touch are nodes of the new rounds.
+    """
+    of = comp.select("node", "comp")
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(of.withColumnsRenamed({"node": end, "comp": f"of_{end}"}), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    more = components(durable(ends.select("a", "b").where("a <> b").distinct()))
+    moved = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    told = of.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return durable(told.unionByName(more.join(of, "node", "left_anti").select("node", "comp")))

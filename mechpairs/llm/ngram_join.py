@@ -52,8 +52,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read_table, runs, slices, small_batches
-from .components import components
+from .common import counted, durable, read_table, runs, slices, small_batches
+from .components import components, widened
 
 SHINGLE = 4
 NUM, DEN = 85, 100
@@ -214,9 +214,19 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def marked(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` of ``rows`` rows, marked for broadcast if they are few enough."""
+    return F.broadcast(table) if rows <= SMALL_ROWS else table
+
+
 def small(table: DataFrame) -> DataFrame:
-    """``table``, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+    """``table``, counted and marked."""
+    return marked(table, table.count())
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, written, counted meanwhile, and marked."""
+    return marked(*counted(df))
 
 
 def class_keys(h: np.ndarray) -> tuple[int, int]:
@@ -257,11 +267,11 @@ def with_classes(table: DataFrame) -> DataFrame:
     """``table`` with the class id ``cid`` of each set: its first digest, or a hash of
     both for the few first digests that different sets share."""
     clash = table.groupBy("k1").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo < hi").select("k1", F.lit(True).alias("clash"))
-    clash = durable(clash)
-    if clash.isEmpty():
+    clash, rows = counted(clash)
+    if not rows:
         return table.withColumn("cid", F.col("k1"))
-    marked = table.join(small(clash), "k1", "left")
-    return marked.withColumn("cid", F.when(F.col("clash"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("clash")
+    told = table.join(marked(clash, rows), "k1", "left")
+    return told.withColumn("cid", F.when(F.col("clash"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("clash")
 
 
 def signed(sets: DataFrame, bands: Bands) -> DataFrame:
@@ -295,13 +305,13 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     num, den = bands.num, bands.den
     n = sets.select("cid", "n")
-    close = durable(
+    close, rows = counted(
         pairs.join(n.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
         .join(n.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
         .where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
     )
-    right = sets.join(small(durable(close.select(F.col("b").alias("cid")).distinct())), "cid", "left_semi")
-    left = sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")).join(small(close), "a")
+    right = sets.join(saved(close.select(F.col("b").alias("cid")).distinct()), "cid", "left_semi")
+    left = sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")).join(marked(close, rows), "a")
     both = left.join(right.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,18 +333,16 @@ def class_components(members: DataFrame, sets: DataFrame, bands: Bands) -> DataF
         known.join(centre, "sig").where("cid <> p.cid").groupBy("cid").agg(F.max("p").alias("best"))
     )
     first = stars.select(F.least("cid", "best.cid").alias("a"), F.greatest("cid", "best.cid").alias("b")).distinct()
-    links = durable(verified(first, sets, bands))
-    comp = components(links)
+    comp = components(durable(verified(first, sets, bands)))
     # Buckets that hold several components; their members chain to families.
     named = known.select("sig", "cid", "need").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-    family = durable(families(thinned(named.withColumn("comp", F.coalesce("comp", "cid")))))
-    marks = durable(bitmaps(sets.join(small(family), "cid", "left_semi")))
+    family, rows = counted(families(thinned(named.withColumn("comp", F.coalesce("comp", "cid")))))
+    marks = durable(bitmaps(sets.join(marked(family, rows), "cid", "left_semi")))
     # First the closest member of each other component, then all that is still open.
     for closest in (True, False):
-        more = durable(verified(open_pairs(family, comp, marks, closest, bands), sets, bands))
-        if not more.isEmpty():
-            links = durable(links.unionByName(more))
-            comp = components(links)
+        more, rows = counted(verified(open_pairs(family, comp, marks, closest, bands), sets, bands))
+        if rows:
+            comp = widened(comp, more)
     return comp
 
 
@@ -432,7 +440,7 @@ def open_pairs(family: DataFrame, comp: DataFrame, marks: DataFrame, closest: bo
         for rows in runs(batches, keys):
             yield pd.DataFrame(near_pairs(rows, closest, num, den), columns=["a", "b"], dtype="int64")
 
-    ready = marks.join(small(durable(seats)), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
+    ready = marks.join(saved(seats), "cid").repartition(*keys).sortWithinPartitions(*keys, "side", "cid")
     found = ready.mapInPandas(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -490,9 +498,8 @@ def join_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     members = durable(bucket_members(kept, bands))
     # One row of each class that shares a signature holds its set.
     holder = kept.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).join(members.select("cid").distinct(), "cid", "left_semi")
-    sets = kept.join(small(durable(holder)), ["cid", "doc_id"], "left_semi").select("cid", "n", "h")
-    again = durable(keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    repeats = not again.isEmpty()
+    sets = kept.join(saved(holder), ["cid", "doc_id"], "left_semi").select("cid", "n", "h")
+    again, repeats = counted(keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeats:
         sets = sets.dropDuplicates(["cid"])  # only rows that repeat a doc_id give a class twice
     comp = class_components(members, durable(sets), bands)
