@@ -47,3 +47,11 @@ def best_json(text: Column) -> Column:
         return F.when(F.try_parse_json(t).isNotNull() & F.startswith(F.trim(t), F.lit("{")), F.trim(t))
 
     return F.coalesce(ok(text), ok(fenced), ok(greedy))
+
+
+def direction_tag(subject: Column, a: Column, b: Column, bidirectional: Column, order: Column | None = None, fallback: str | None = "bidirectional") -> Column:
+    """Which side acts on which, seen in the presented order (``ab`` where none is given);
+    ``fallback`` (a tag, or None) where the subject is neither side."""
+    turned = F.lit(False) if order is None else F.coalesce(order == "ba", F.lit(False))
+    known = F.when(subject == a, F.when(turned, "b_to_a").otherwise("a_to_b")).when(subject == b, F.when(turned, "a_to_b").otherwise("b_to_a"))
+    return F.when(F.coalesce(bidirectional, F.lit(False)), "bidirectional").otherwise(F.coalesce(known, F.lit(fallback).cast("string")))

@@ -104,3 +104,69 @@ def next_subtypes(labels: DataFrame) -> DataFrame:
     w = Window.partitionBy("family").orderBy("subtype")
     first = F.min("subtype").over(Window.partitionBy("family"))
     return words.select("family", "subtype", F.coalesce(F.lead("subtype").over(w), first).alias("next_subtype"))
+
+
+def pk_evidence(pairs: DataFrame, flags: DataFrame) -> DataFrame:
+    """(pair_id, prefix, ids): the rules that ``flags`` support for each pair, in the order
+    of the prefixes, and the first prefix; a prefix that fits both ways is told for A."""
+    acts = flags.where("kind in ('inh', 'ind')").groupBy(F.col("entity").alias("subject"), "prefix").agg(
+        F.bool_or(F.col("kind") == "inh").alias("inh"), F.bool_or(F.col("kind") == "ind").alias("ind"))
+    taken = flags.where("kind = 'sub'").select(F.col("entity").alias("object"), "prefix").distinct()
+    ways = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(o).alias("other"), F.col(x).alias("subject"), F.col(y).alias("object")) for s, o, x, y in (("A", "B", "a_id", "b_id"), ("B", "A", "b_id", "a_id"))))
+    met = pairs.select("pair_id", F.inline(ways)).join(acts, "subject").join(taken, ["object", "prefix"])
+    once = met.groupBy("pair_id", "prefix").agg(F.min(F.struct("side", "other", "inh", "ind")).alias("m")).select("pair_id", "prefix", "m.*")
+
+    def flag(kind: str, side: Column) -> Column:
+        return F.concat(F.lit("pk_flag_"), F.col("prefix"), F.lit(f"_{kind}_"), side)
+
+    ids = F.filter(F.array(
+        F.concat(F.lit("enzyme_"), F.upper("prefix")), F.when(F.col("inh"), flag("inhibitor", F.col("side"))), F.when(F.col("ind"), flag("inducer", F.col("side"))),
+        flag("substrate", F.col("other")),
+    ), lambda i: i.isNotNull())
+    place = F.array_position(F.array(*map(F.lit, ENZYMES + TRANSPORTERS)), F.col("prefix"))
+    told = once.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "prefix", ids.alias("ids")))).alias("all"))
+    return told.select("pair_id", F.get("all", F.lit(0))["prefix"].alias("prefix"), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
+
+
+def shared_evidence(a_proteins: Column, b_proteins: Column, a_pathways: Column, b_pathways: Column) -> Column:
+    """Ids of the proteins and pathways that both sides have, sorted."""
+    def ids(kind: str, a: Column, b: Column) -> Column:
+        return F.transform(F.array_sort(F.array_intersect(F.coalesce(a, F.array()).cast("array<string>"), F.coalesce(b, F.array()).cast("array<string>"))), lambda x: F.concat(F.lit(f"{kind}_"), x))
+
+    return F.concat(ids("protein", a_proteins, b_proteins), ids("pathway", a_pathways, b_pathways))
+
+
+def picked(options: Column, salt: str) -> Column:
+    """An element that a hash of the pair chooses; null of none."""
+    n = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("pair_id")).cast("binary")), 1, 7), 16, 10).cast("long")
+    return F.when(F.size(options) > 0, F.get(options, (n % F.size(options)).cast("int")))
+
+
+def adversarial_evidence(rows: DataFrame) -> DataFrame:
+    """(pair_id, kind, ids, claimed) of misleading evidence for ``rows(pair_id, family,
+    prefix, a_proteins, b_proteins, a_pathways, b_pathways)``.
+
+    A PK pair with a true prefix cites another enzyme; other PK pairs cite proteins
+    (and pathways) of each side as if shared, the rest an enzyme.  Without material
+    ``kind`` is the reason to skip, and ids are null.
+    """
+    pk = F.startswith("family", F.lit("PK_"))
+    enzymes = F.array(*map(F.lit, ENZYMES))
+    swap = pk & F.col("prefix").isNotNull()
+    enzyme = picked(F.when(swap, F.array_remove(enzymes, F.col("prefix"))).otherwise(enzymes), "adv-1")
+    rule = F.array(
+        F.concat(F.lit("enzyme_"), F.upper(enzyme)), F.concat(F.lit("pk_flag_"), enzyme, F.lit("_inhibitor_A")), F.concat(F.lit("pk_flag_"), enzyme, F.lit("_substrate_B")),
+    )
+
+    def cited(kind: str, side: str, salt: str) -> Column:
+        return F.concat(F.lit(f"{kind}_"), picked(F.col(f"{side}_{kind}s"), salt).cast("string"))
+
+    proteins = F.array(cited("protein", "a", "adv-2"), cited("protein", "b", "adv-3"))
+    routes = F.array(cited("pathway", "a", "adv-4"), cited("pathway", "b", "adv-5"))
+    targets = (F.size("a_proteins") > 0) & (F.size("b_proteins") > 0)
+    both = F.when((F.size("a_pathways") > 0) & (F.size("b_pathways") > 0), F.concat(proteins, routes)).otherwise(proteins)
+    known = F.col("family").isin(*CONFUSED)
+    kind = F.when(~known | F.col("family").isNull(), "unknown_family").when(swap, "enzyme_swap").when(pk & ~F.coalesce(targets, F.lit(False)), "no_proteins").otherwise("cross_family_swap")
+    ids = F.when(kind == "enzyme_swap", rule).when(kind == "cross_family_swap", F.when(pk, both).otherwise(rule))
+    claimed = F.when(ids.isNotNull(), F.when(swap | ~pk, "PK_Metabolism").otherwise("PD_Activity"))
+    return rows.select("pair_id", kind.alias("kind"), ids.alias("ids"), claimed.alias("claimed"))

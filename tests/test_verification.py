@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from mechpairs.functions.features import direction_tag
+from mechpairs.operators import counterfactuals as cf
 from mechpairs.operators import verification as v
 
 STEP = "pair_id string, step_id int, role string, claim string, hint string"
@@ -64,3 +66,36 @@ def test_rescue_ceiling(answers):
     got = {r.share: (r.n_fixed, r.macro_f1) for r in v.rescue_ceiling(*answers, shares=(0.0, 0.5, 1.0)).collect()}
     # Efficacy: 1 of 5 found, then 2, then 3; F1 is 2 / 6, 4 / 7 and 6 / 8, the mean over seven families.
     assert got == {0.0: (0, round(1 / 21, 6)), 0.5: (1, round(4 / 49, 6)), 1.0: (2, round(6 / 56, 6))}
+
+
+def test_direction_tag(spark):
+    made = spark.createDataFrame([("a", False, "ab"), ("a", False, "ba"), ("b", None, None), ("c", False, "ab"), (None, False, "ab"), ("a", True, "ab")], "s string, bi boolean, o string")
+    tag = lambda fallback: direction_tag(F.col("s"), F.lit("a"), F.lit("b"), F.col("bi"), F.col("o"), fallback)
+    got = [tuple(r) for r in made.select(tag("bidirectional"), tag(None)).collect()]
+    assert got == [("a_to_b",) * 2, ("b_to_a",) * 2, ("b_to_a",) * 2, ("bidirectional", None), ("bidirectional", None), ("bidirectional",) * 2]
+
+
+def test_pk_evidence(spark):
+    flags = spark.createDataFrame(
+        [("a", "cyp3a4", "inh"), ("a", "cyp3a4", "ind"), ("b", "cyp3a4", "sub"), ("b", "cyp1a2", "inh"), ("a", "cyp1a2", "sub"), ("b", "oct1", "inh"), ("b", "bcrp", "sub")],
+        "entity string, prefix string, kind string")
+    pairs = spark.createDataFrame([("p", "a", "b"), ("q", "a", "c")], "pair_id string, a_id string, b_id string")
+    assert [tuple(r) for r in cf.pk_evidence(pairs, flags).collect()] == [("p", "cyp1a2", [
+        "enzyme_CYP1A2", "pk_flag_cyp1a2_inhibitor_B", "pk_flag_cyp1a2_substrate_A",
+        "enzyme_CYP3A4", "pk_flag_cyp3a4_inhibitor_A", "pk_flag_cyp3a4_inducer_A", "pk_flag_cyp3a4_substrate_B"])]
+
+
+def test_shared_and_adversarial_evidence(spark):
+    made = spark.createDataFrame(
+        [
+            ("p", "PK_Excretion", "cyp1a2", ["x"], ["y"], None, None), ("q", "PK_Excretion", None, ["x"], ["y"], ["w"], ["w"]), ("r", "PK_Excretion", None, [], ["y"], None, None),
+            ("s", "Efficacy", None, None, None, None, None), ("t", None, None, None, None, None, None), ("u", "PK_Absorption", None, ["z", "x"], ["x", "z"], [], ["w"]),
+        ], "pair_id string, family string, prefix string, a_proteins array<string>, b_proteins array<string>, a_pathways array<string>, b_pathways array<string>")
+    shared = dict(made.select("pair_id", cf.shared_evidence(*(F.col(f"{e}_{k}s") for k in ("protein", "pathway") for e in ("a", "b")))).collect())
+    assert shared == {"p": [], "q": ["pathway_w"], "r": [], "s": [], "t": [], "u": ["protein_x", "protein_z"]}
+    got = {r.pair_id: r for r in cf.adversarial_evidence(made).collect()}
+    assert {k: (r.kind, r.claimed) for k, r in got.items()} == {
+        "p": ("enzyme_swap", "PK_Metabolism"), "q": ("cross_family_swap", "PD_Activity"), "r": ("no_proteins", None), "s": ("cross_family_swap", "PK_Metabolism"),
+        "t": ("unknown_family", None), "u": ("cross_family_swap", "PD_Activity")}
+    assert got["q"].ids == ["protein_x", "protein_y", "pathway_w", "pathway_w"] and len(got["u"].ids) == 2
+    assert "CYP1A2" not in got["p"].ids[0] and len(got["s"].ids) == 3 and got["r"].ids is None
