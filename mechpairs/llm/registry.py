@@ -9,6 +9,7 @@ from .mil_quality import op10_quality_classifier
 from .mixing import op3_mixing
 from .ngram_join import op7_ngram_join
 from .packing import op8_packing
+from .periodic_runs import op11_periodic_runs
 from .pii import op2_pii
 from .quality_llr import op1_quality_rules
 from .toxicity import op4_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 
