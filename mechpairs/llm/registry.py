@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, ngram_join, url_filter
+from . import license_scan, mixing, ngram_join, secret_scan, url_filter
 from .embed_dedup import op9_embed_dedup
 from .license_scan import op6_license_scan
 from .mil_quality import op10_quality_classifier
@@ -12,6 +12,7 @@ from .packing import op8_packing
 from .periodic_runs import op11_periodic_runs
 from .pii import op2_pii
 from .quality_llr import op1_quality_rules
+from .secret_scan import op12_secret_scan
 from .toxicity import op4_toxicity
 from .url_filter import op5_url_filter
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_embed_dedup": op9_embed_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.oracle(),
         "op6_license_scan": license_scan.oracle(),
         "op7_ngram_join": ngram_join.oracle(),
+        "op12_secret_scan": secret_scan.oracle(),
     }
