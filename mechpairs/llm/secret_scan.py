@@ -190,13 +190,13 @@ def text_of(spans: Column) -> Column:
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(read_table(spark, sf_dir, "documents"))
 
-    def number(test) -> Column:
-        return F.size(F.filter("spans", test)).cast("long")
+    def number(field: str, value: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x[field] == value)).cast("long")
 
     return out.select(
-        "doc_id", *(number(lambda x, k=k: x["kind"] == k).alias(f"n_{k}") for k in BASE_KINDS),
+        "doc_id", *(number("kind", k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(text_of(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"),
-        number(lambda x: x["verdict"] == "live").alias("n_live"), number(lambda x: x["verdict"] == "example").alias("n_example"),
+        number("verdict", "live").alias("n_live"), number("verdict", "example").alias("n_example"),
     )
 
 
