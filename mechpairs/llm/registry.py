@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, ngram_join, secret_scan, url_filter
+from . import hard_negatives, license_scan, mixing, ngram_join, secret_scan, url_filter
 from .embed_dedup import op9_embed_dedup
+from .hard_negatives import op13_hard_negatives
 from .license_scan import op6_license_scan
 from .mil_quality import op10_quality_classifier
 from .mixing import op3_mixing
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_secret_scan": op12_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": license_scan.oracle(),
         "op7_ngram_join": ngram_join.oracle(),
         "op12_secret_scan": secret_scan.oracle(),
+        "op13_hard_negatives": hard_negatives.oracle(),
     }
