@@ -251,7 +251,7 @@ a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
 s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM a JOIN r ON a.vec_id <> r.vec_id),
 p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {POSITIVES})
-SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
-FROM p JOIN s USING (anchor_id) WHERE NOT same AND {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score
-QUALIFY row_number() OVER w <= {NEGATIVES}
-WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)"""
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN (SELECT * FROM s WHERE NOT same) USING (anchor_id)
+WHERE {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score QUALIFY rank <= {NEGATIVES}"""
