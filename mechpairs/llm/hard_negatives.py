@@ -245,8 +245,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     return f"""
-WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
 s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM a JOIN r ON a.vec_id <> r.vec_id),
 p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
@@ -254,4 +254,5 @@ p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s
 SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
   other_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN (SELECT * FROM s WHERE NOT same) USING (anchor_id)
-WHERE {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score QUALIFY rank <= {NEGATIVES}"""
+WHERE {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= {NEGATIVES}"""
