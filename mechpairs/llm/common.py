@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,6 +103,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def with_column(docs: DataFrame, name: str, kind: str, measure: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """``docs`` with ``name`` measured from whole texts; a column of that name gives way.
+
+    ``measure`` is called once in each task and returns a function of a list of texts.
+    Other columns stay in Arrow, so ids are the same whatever stands beside them.
+    """
+    small_batches(docs.sparkSession)
+    schema = docs.withColumn(name, F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = measure()
+        for batch in slices(batches):
+            made = pa.array(function(batch.column("text").to_pylist()))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: made}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, schema)
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Groups of equal keys out of sorted batches; one group is held at a time."""
     held: list[pd.DataFrame] = []

@@ -15,7 +15,8 @@ their links, never all pairs.
 Every row is indexed.  Recall against brute force is measured in the tests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts,
-and those without a label, have no links and are their own component; vectors of
+and those without a label, have no links and are their own component, and so do rows
+without an id, whose component is null; vectors of
 different length never meet; repeated rows count as vectors of their own; other
 columns are ignored; an empty table gives an empty result.
 """
@@ -99,7 +100,7 @@ def classes(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     bad = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return (
-        vectors.select("vec_id", "label", e.alias("e")).where("label is not null and e is not null")
+        vectors.select("vec_id", "label", e.alias("e")).where("vec_id is not null and label is not null and e is not null")
         .where(~bad & F.exists("e", lambda v: v != 0))
         .groupBy("label", "e").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m"))
     )
@@ -172,7 +173,8 @@ def block_links(placed: DataFrame, least_cosine: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(batches, ["key", "bi", "bj"]):
             if out := group_links(rows, least_cosine):
-                yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"b": "Int64"})
+                a, b, links = zip(*out, strict=True)  # a null beside long numbers would make them doubles
+                yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "links": links})
 
     return placed.mapInPandas(run, "a long, b long, links long")
 
@@ -209,7 +211,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = MIN_COSINE) -> Dat
     )
     e = F.col("embedding").cast("array<double>")
     return (
-        vectors.select("vec_id", "label", e.alias("e")).join(of_class, ["label", "e"], "left")
+        vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), e.alias("e")).join(of_class, ["label", "e"], "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

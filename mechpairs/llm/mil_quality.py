@@ -11,8 +11,10 @@ is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts are one passage without words and get a
 score like any other; without labels of both kinds every score is 1 (nothing is
-rejected); repeated rows are scored one by one; columns other than the text are
-never inputs of a score.
+rejected); repeated rows are scored one by one; ids of any type are handed through, a null
+one has no fold (``held_out`` is null) and is never learned from; of several rows of one
+id the least text is learned from; columns other than the text are never inputs of a
+score, and one named ``quality_score`` gives way to it.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import crc_mod4, learning_rows, read_table
+from .common import crc_mod4, learning_rows, read_table, with_column
 
 PASSAGE = 48
 MAX_LABELLED = 4000
@@ -140,14 +143,18 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
 
 def fit(docs: DataFrame, labels: DataFrame, cap: int = MAX_LABELLED) -> Model | None:
     """Model from at most ``cap`` labelled documents; None without both labels."""
+    order = F.col("doc_id").cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):  # numbers come in their own order
+        order = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [passages(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "bag": [b.ravel() for b in bags]})
+            yield pd.DataFrame({"doc": batch["doc"], "y": batch["y"], "bag": [b.ravel() for b in bags]})
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(learning_rows(labels, "quality", cap)), "doc_id")
-    rows = chosen.mapInPandas(encode, "doc_id long, y int, bag array<double>").toPandas().sort_values("doc_id", kind="stable")
+    once = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(order.alias("doc"), "y", "text")
+    rows = once.mapInPandas(encode, "doc string, y int, bag array<double>").toPandas().sort_values("doc", kind="stable")
     y = rows["y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return None
@@ -157,16 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, cap: int = MAX_LABELLED) -> Model |
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with the score of each whole text in ``quality_score``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.ones(len(batch))
-            if model is not None:
-                for at in range(0, len(batch), 200):
-                    some = [passages(t) for t in batch["text"].iloc[at : at + 200]]
-                    out[at : at + 200] = model.score(some)
-            yield batch.assign(quality_score=out)
-
-    return docs.mapInPandas(run, docs.withColumn("quality_score", F.lit(0.0)).schema)
+    def scores(texts: list) -> np.ndarray:
+        out = np.ones(len(texts))
+        if model is not None:
+            for at in range(0, len(texts), 200):
+                out[at : at + 200] = model.score([passages(t) for t in texts[at : at + 200]])
+        return out
+
+    return with_column(docs, "quality_score", "double", lambda: scores)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,21 +11,24 @@ remainders, so memory is bounded, nothing is shuffled, and a lost task is simply
 run again with the same result.  Sequence ids hold partition and counter.
 
 Defined results: null and empty texts are one end id; repeated rows are packed
-again, each on its own; other columns are ignored.
+again, each on its own; ids of any type are handed through, null included; other columns
+are ignored.  A flush may leave one short window for each batch, cut into at most eleven
+sequences.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, slices, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -43,7 +46,8 @@ def default_tokenizer_path() -> str:
 class ByteBpe:
     """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
-    Vocabulary, added tokens and split pattern come from that file.  Plain texts
+    Vocabulary and added tokens come from that file; the split pattern is ``PATTERN``,
+    and a file that splits otherwise is refused.  Plain texts
     are encoded with the same vocabulary by tiktoken, which gives the same ids in
     a third of the time (tests compare both); texts that hold an added token's
     string go through the tokenizers library itself.
@@ -54,6 +58,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} does not split texts as PATTERN does")
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         signs = byte_signs()
         ranks = {
@@ -201,24 +209,31 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row for each piece of a document; see the module for the layout."""
     path = tokenizer_path or default_tokenizer_path()
-    names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ByteBpe(path)
         packer = Packer(window, TaskContext.get().partitionId() << 36)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += packer.add(doc, tokenizer.encode(text if isinstance(text, str) else ""))
+        id_type = pa.null()
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            ids, *numbers = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(n, pa.int64()) for n in numbers)], ["doc_id", *names])
+
+        for batch in slices(batches):
+            rows, id_type = [], batch.column(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += packer.add(doc, tokenizer.encode(text or ""))
                 if len(packer.waiting) >= BATCH_PIECES:
                     rows += packer.flush()
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield told(rows)
         if rows := packer.flush():
-            yield pd.DataFrame(rows, columns=names)
+            yield told(rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, let, read_table, words
+from .ngram_join import saved
 
 BUCKETS = 8192
 THRESHOLD = -0.3
-MAX_TRUSTED = 20_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -42,21 +42,18 @@ def bucket(buckets: int, *tokens_: Column) -> Column:
     return F.pmod(F.xxhash64(*tokens_), F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, cap: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``cap`` ids of documents labelled as good, by hash order."""
-    return (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap)
-    )
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled as good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
     """Log ratio for each bucket, from counts over all of ``docs``.
 
-    ``trusted`` is bounded (see trusted_ids), so it is broadcast.  The model is
-    ``buckets`` numbers whatever the corpus size.
+    ``trusted`` is broadcast up to a counted number of ids and joined by a shuffle
+    beyond.  The model is ``buckets`` numbers whatever the corpus size.
     """
-    flag = F.broadcast(trusted.select("doc_id").withColumn("good", F.lit(1)))
+    flag = saved(trusted.select("doc_id").withColumn("good", F.lit(1)))
     marked = docs.select("doc_id", "text").join(flag, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     both = F.array(bucket(buckets, F.col("w")), F.when(F.col("v").isNotNull(), bucket(buckets, F.col("w"), F.col("v"))))
     counts = (

@@ -15,7 +15,10 @@ the held-out fold; scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts, like all texts without a match, get the
 score of no match; without labels of both kinds only the seeds count; repeated
-rows are scored one by one; columns other than the text are never inputs.
+rows are scored one by one; ids of any type are handed through, a null one has no fold
+(``held_out`` is null) and is never learned from; of several rows of one id the least text
+is learned from; columns other than the text are never inputs, and one named
+``toxic_score`` gives way to the score.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod4, durable, learning_rows, read_table
+from .common import crc_mod4, durable, learning_rows, read_table, with_column
 
 MAX_LABELLED = 6000
 ACCEPT = 0.3
@@ -286,7 +289,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, cap: int = MAX_LABELLED) -> Model:
     chosen = learning_rows(labels, "toxic", cap)
-    sample = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = durable(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     lexicon = learn_lexicon(sample)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,13 +310,16 @@ def fit(docs: DataFrame, labels: DataFrame, cap: int = MAX_LABELLED) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the score of each whole text in ``toxic_score``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure():
         automaton = model.lexicon.automaton()
-        for batch in batches:
-            sums = np.array([readings(t, model.lexicon, automaton) for t in batch["text"]]).reshape(len(batch), len(READINGS))
-            yield batch.assign(toxic_score=model.probability(sums))
 
-    return docs.mapInPandas(run, docs.withColumn("toxic_score", F.lit(0.0)).schema)
+        def scores(texts: list) -> np.ndarray:
+            sums = np.array([readings(t, model.lexicon, automaton) for t in texts]).reshape(len(texts), len(READINGS))
+            return model.probability(sums)
+
+        return scores
+
+    return with_column(docs, "toxic_score", "double", measure)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ path count alike; a rule's path gives those that something ends within the rule,
 its last one may be the beginning of a longer token.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
-and no rule, and is allowed; repeated rows are judged one by one; other columns
-are ignored.  The rule list is a parameter and does not grow with the data.
+and no rule, and is allowed; repeated rows are judged one by one; ids of
+any type are handed through, null included; other columns are ignored.  The rule list is a parameter and does not grow with the data.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,11 +110,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
     parts = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     by_token, always = index_rules(rules, token_counts(parts, rules))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {r: re.compile(r.pattern) for r in rules}
         for batch in batches:
             names, verdicts = [], []
-            for h, p in zip(batch["host"], batch["path"], strict=True):
+            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 place = f"{h}\n{p}"
                 tokens = dict.fromkeys(TOKEN.findall(place))
                 candidates = [r for t in tokens for r in by_token.get(t, ())] + always
@@ -122,10 +122,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
                 best = max(fits, key=lambda r: r.rank, default=None)
                 names.append(best.name if best and best.listed else None)
                 verdicts.append(best.verdict if best else default)
-            yield batch.assign(rule=pd.Series(names, index=batch.index, dtype=object), verdict=pd.Series(verdicts, index=batch.index, dtype=object))
+            made = [pa.array(names, pa.string()), pa.array(verdicts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["page_id", "host", "path", "rule", "verdict"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return parts.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
