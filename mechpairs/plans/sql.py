@@ -67,7 +67,9 @@ CTES = {
   SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY x1, x2, x3, x4, x5, s, o, kind) AS rn, count(*) OVER (PARTITION BY a_id, b_id) AS n_seen,
   count(DISTINCT description) OVER (PARTITION BY a_id, b_id) AS n_texts FROM (SELECT *, least(s, o) AS a_id, greatest(s, o) AS b_id FROM ment)) WHERE rn = 1""",
     "tmpl": """SELECT *, replace(replace(description, raw_subject_id, '<A>'), CASE WHEN raw_subject_id = a_id THEN b_id ELSE a_id END, '<B>') AS template FROM pairs""",
-    "casc": f"SELECT pair_id, a_id, b_id, raw_subject_id, template, {', '.join(f'{_cascade(w)} AS {w}' for w in ('family', 'subtype', 'polarity', 'subject', 'object'))} FROM tmpl",
+    # Templates are few: each is classified once.
+    "tcls": f"SELECT template, {', '.join(f'{_cascade(w)} AS {w}' for w in ('family', 'subtype', 'polarity', 'subject', 'object'))} FROM (SELECT DISTINCT template FROM tmpl)",
+    "casc": "SELECT pair_id, a_id, b_id, raw_subject_id, template, family, subtype, polarity, subject, object FROM tmpl JOIN tcls USING (template)",
     "labels_": f"""SELECT pair_id, a_id, b_id, template, family, CASE {_CANON} ELSE subtype END AS subtype, polarity,
   CASE subject WHEN 'A' THEN raw_subject_id WHEN 'B' THEN CASE WHEN raw_subject_id = a_id THEN b_id ELSE a_id END END AS subject_id,
   CASE object WHEN 'A' THEN raw_subject_id WHEN 'B' THEN CASE WHEN raw_subject_id = a_id THEN b_id ELSE a_id END END AS object_id,
