@@ -24,7 +24,7 @@ def token_similarity(sets: DataFrame, hub: int = 1000) -> DataFrame:
     # Dealt by x once: counting and the top list of an entity need no other shuffle.
     shared = left.join(right, ["token", "salt"]).where("x <> y").select("x", "y").repartition("x").groupBy("x", "y").agg(F.count("*").alias("shared"))
     a, b = (sizes.select(F.col("entity").alias(c), F.col("size").alias(f"n{c}")) for c in "xy")
-    return shared.join(a, "x").join(b, "y").select("x", "y", "shared", F.round(F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared")), 6).alias("jaccard"))
+    return shared.join(a, "x").join(b, "y").select("x", "y", "shared", (F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("jaccard"))
 
 
 def combined(parts: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -33,7 +33,7 @@ def combined(parts: list[tuple[DataFrame, float]]) -> DataFrame:
     for df, w in parts:
         p = df.select("x", "y", (F.col("jaccard") * w).alias("s"))
         rows = p if rows is None else rows.unionByName(p)
-    return rows.groupBy("x", "y").agg(F.round(F.sum("s"), 6).alias("sim")).where("sim > 0")
+    return rows.groupBy("x", "y").agg(F.sum("s").alias("sim")).where("sim > 0")
 
 
 def top_similar(sim: DataFrame, m: int = TOP) -> DataFrame:
@@ -47,7 +47,8 @@ def neighbour_pairs(queries: DataFrame, train: DataFrame, near: DataFrame, k: in
 
     A query (a, b) meets a train pair (x, y) where x is near or equal to none of its
     ends but in the top list of one and y in that of the other; the score is the better
-    of the two ways of pairing them (``total``: their sum).  ``disjoint`` leaves out
+    of the two ways of pairing them (``total``: their sum), and is never rounded, as
+    ranks follow from it.  ``disjoint`` leaves out
     pairs that share an entity.
     """
     s1 = near.select(F.col("x").alias("q1"), F.col("y").alias("t1"), F.col("sim").alias("s1"))
@@ -58,7 +59,7 @@ def neighbour_pairs(queries: DataFrame, train: DataFrame, near: DataFrame, k: in
     if disjoint:
         hits = hits.where((F.col("t1") != F.col("q2")) & (F.col("t2") != F.col("q1")))
     value = F.col("s1") * F.col("s2")
-    by = hits.groupBy("pair_id", "neighbour", "n_family").agg(F.round(F.sum(value) if total else F.max(value), 6).alias("score")).where("score > 0")
+    by = hits.groupBy("pair_id", "neighbour", "n_family").agg((F.sum(value) if total else F.max(value)).alias("score")).where("score > 0")
     w = Window.partitionBy("pair_id").orderBy(F.desc("score"), "neighbour")
     return by.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -99,7 +100,9 @@ def coverage_tiers(features: DataFrame) -> DataFrame:
     return features.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-def histogram(features: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Counts in equal bins of 0 to 1 (one goes to the last bin), nulls apart."""
-    b = F.least(F.lit(bins - 1), F.floor(F.col(column) * bins)).cast("int")
+def histogram(features: DataFrame, part: str, whole: str, bins: int = 10) -> DataFrame:
+    """Counts of ``part / whole`` in equal bins of 0 to 1 (one goes to the last bin), nulls
+    apart; bins are told by whole numbers, so no quotient is rounded first."""
+    place = F.floor(bins * F.col(part) / F.col(whole))
+    b = F.when(place.isNotNull(), F.least(F.lit(bins - 1), place)).cast("int")  # least() passes over nulls
     return features.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))

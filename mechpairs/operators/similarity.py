@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def pair_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Jaccard and shared count for given pairs; null if a set is missing.
+    """Jaccard, shared and united count for given pairs; null if a set is missing.
 
     ``sets(entity, token)`` is packed to one array for each entity first, so each
     pair costs two lookups and no token is ever a join key.
@@ -18,7 +18,7 @@ def pair_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("ta", "tb"))
     return pairs.select("pair_id", "a_id", "b_id").join(a, "a_id", "left").join(b, "b_id", "left").select(
         "pair_id", F.when(F.col("ta").isNotNull() & F.col("tb").isNotNull(), shared).alias("shared"),
-        F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("jaccard"),
+        F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("jaccard"), (F.size("ta") + F.size("tb") - shared).alias("united"),
     )
 
 

@@ -120,8 +120,14 @@ def classified(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def label_pairs(pairs: DataFrame) -> DataFrame:
-    """Labels of pairs: family, canonical subtype, polarity, subject and object."""
-    tagged = classified(with_template(pairs.drop("bidirectional")))
+    """Labels of pairs: family, canonical subtype, polarity, subject and object.
+
+    Templates are few beside the pairs, so each is classified once.
+    """
+    rows = with_template(pairs.drop("bidirectional"))
+    kinds = classified(rows.where("template is not null").select("template").distinct())
+    none = {"family": "Other", "subtype": "unmatched", "subject": "", "object": ""}
+    tagged = rows.join(kinds, "template", "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in none.items()})
     other = F.when(F.col("raw_subject_id") == F.col("a_id"), F.col("b_id")).otherwise(F.col("a_id"))
 
     def side(tag: str) -> Column:

@@ -121,8 +121,8 @@ def chats(s, d):
 
 register("record_errors", lambda s, d: gates.record_errors(chats(s, d)), """SELECT conv_id::VARCHAR AS pair_id, 1 AS nth, CASE WHEN count_if(role = 'assistant') <> 1 THEN 'assistant_count' ELSE '' END AS errors FROM conversations GROUP BY conv_id""")
 # Retrieval.
-SIM = "SELECT x, y, shared, round(shared / (nx + ny - shared), 6) AS jaccard FROM (SELECT a.entity AS x, b.entity AS y, count(*) AS shared FROM toks a JOIN toks b ON a.token = b.token AND a.entity <> b.entity GROUP BY ALL) JOIN (SELECT entity AS x, count(*) AS nx FROM toks GROUP BY 1) USING (x) JOIN (SELECT entity AS y, count(*) AS ny FROM toks GROUP BY 1) USING (y)"
-TOPM = f"SELECT x, y, round(jaccard, 6) AS sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY jaccard DESC, y) AS rk FROM ({SIM})) WHERE rk <= 20"
+SIM = "SELECT x, y, shared, shared / (nx + ny - shared) AS jaccard FROM (SELECT a.entity AS x, b.entity AS y, count(*) AS shared FROM toks a JOIN toks b ON a.token = b.token AND a.entity <> b.entity GROUP BY ALL) JOIN (SELECT entity AS x, count(*) AS nx FROM toks GROUP BY 1) USING (x) JOIN (SELECT entity AS y, count(*) AS ny FROM toks GROUP BY 1) USING (y)"
+TOPM = f"SELECT x, y, jaccard AS sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY jaccard DESC, y) AS rk FROM ({SIM})) WHERE rk <= 20"
 register("entity_similarity_top", lambda s, d: retrieval.top_similar(retrieval.combined([(retrieval.token_similarity(tokens(s, d)), 1.0)]), 20), f"SELECT x, y, sim, rk::INT AS rank FROM ({TOPM})")
 
 
@@ -137,7 +137,7 @@ def neighbours(s, d, total=False, disjoint=False):
 
 NEAR = f"""WITH t AS ({TOPM}), e AS (SELECT rs.pair_id, rs.family, rs.split, l.a_id, l.b_id FROM rs JOIN labels_ l USING (pair_id)), q AS (SELECT pair_id, a_id AS q1, b_id AS q2 FROM e WHERE split = 'test' UNION ALL SELECT pair_id, b_id, a_id FROM e WHERE split = 'test'),
 h AS (SELECT q.pair_id, e.pair_id AS neighbour, e.family AS n_family, u.sim * v.sim AS s FROM q JOIN t u ON u.x = q1 JOIN e ON e.a_id = u.y AND e.split = 'train' JOIN t v ON v.x = q2 AND v.y = e.b_id WHERE true {{1}}),
-g AS (SELECT pair_id, neighbour, n_family, round({{0}}(s), 6) AS score FROM h GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, neighbour)::INT AS rank FROM g WHERE score > 0) WHERE rank <= 20"""
+g AS (SELECT pair_id, neighbour, n_family, {{0}}(s) AS score FROM h GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, neighbour)::INT AS rank FROM g WHERE score > 0) WHERE rank <= 20"""
 register("neighbour_pairs", lambda s, d: neighbours(s, d), nested(NEAR.format("max", "")))
 APART = "AND u.y <> q2 AND v.y <> q1"
 register(
@@ -160,12 +160,12 @@ def features(s, d):
     from ..operators.similarity import pair_jaccard, prefix_depth
 
     pairs = frames.pairs(s, d)
-    return pair_jaccard(pairs, tokens(s, d)).select("pair_id", F.when(F.col("shared") > 0, F.col("jaccard")).alias("pathway"), F.col("jaccard").alias("protein"), F.lit(None).cast("double").alias("structure")).join(prefix_depth(pairs, codes(s, d)), "pair_id")
+    return pair_jaccard(pairs, tokens(s, d)).select("pair_id", F.when(F.col("shared") > 0, F.col("jaccard")).alias("pathway"), F.when(F.col("shared") > 0, F.col("shared")).alias("n_shared"), "united", F.col("jaccard").alias("protein"), F.lit(None).cast("double").alias("structure")).join(prefix_depth(pairs, codes(s, d)), "pair_id")
 
 
-JAC = "(SELECT pair_id, len(list_intersect(x.t, y.t)) AS sh, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) AS j FROM pairs LEFT JOIN tset x ON x.entity = a_id LEFT JOIN tset y ON y.entity = b_id)"
+JAC = "(SELECT pair_id, len(list_intersect(x.t, y.t)) AS sh, len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) AS un, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) AS j FROM pairs LEFT JOIN tset x ON x.entity = a_id LEFT JOIN tset y ON y.entity = b_id)"
 register("similarity_tiers", lambda s, d: retrieval.coverage_tiers(features(s, d)), f"SELECT CASE WHEN sh > 0 THEN 'pathway' ELSE 'protein' END AS tier, count(*) AS n FROM {JAC} GROUP BY 1")
-register("similarity_histogram", lambda s, d: retrieval.histogram(features(s, d), "pathway"), f"SELECT CASE WHEN sh > 0 THEN least(9, floor(j * 10))::INT END AS bin, count(*) AS n FROM {JAC} GROUP BY 1")
+register("similarity_histogram", lambda s, d: retrieval.histogram(features(s, d), "n_shared", "united"), f"SELECT CASE WHEN sh > 0 THEN least(9, 10 * sh // un)::INT END AS bin, count(*) AS n FROM {JAC} GROUP BY 1")
 # Resampling and judges: intervals are random, so only their points have SQL elsewhere.
 register("bootstrap_intervals", lambda s, d: resampling.bootstrap(tf.forward(s, d), 200))
 register("paired_bootstrap", lambda s, d: resampling.paired_bootstrap(three_models(s, d).select("family", F.col("ab").alias("a"), F.col("votes").alias("b")), 200))

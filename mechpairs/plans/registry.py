@@ -111,7 +111,7 @@ LEFT JOIN (SELECT unnest([a_id, b_id]) AS e, count(*) AS d FROM labels_ JOIN rs
 LEFT JOIN (SELECT unnest([a_id, b_id]) AS e, count(*) AS d FROM labels_ JOIN rs USING (pair_id) WHERE split = 'train' GROUP BY 1) y ON y.e = b_id""",
 )
 register(
-    "pair_jaccard", lambda s, d: similarity.pair_jaccard(frames.pairs(s, d), tokens(s, d)),
+    "pair_jaccard", lambda s, d: similarity.pair_jaccard(frames.pairs(s, d), tokens(s, d)).drop("united"),
     """SELECT pair_id, len(list_intersect(x.t, y.t)) AS shared, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) AS jaccard
 FROM pairs LEFT JOIN tset x ON x.entity = a_id LEFT JOIN tset y ON y.entity = b_id""",
 )
