@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import agreement, curation, metrics, selective, similarity, splits, taxonomy
-from ..streaming import ingest
+from ..streaming import complete, ingest
 from . import frames
 from .sql import _ID, query
 
@@ -261,3 +261,7 @@ register(
 TRY_CAST(nullif(regexp_extract(text, '([0-9]+(\.[0-9]+)?) ?%%', 1), '') AS DOUBLE) AS percentage FROM documents""" % "|".join(text.HEDGES),
 )
 register("ingest_events", lambda s, d: ingest.ingest(s, f"{d}/events.parquet", "event_id", "ts"), "SELECT DISTINCT * FROM events")
+register(
+    "complete_events", lambda s, d: complete.complete_table(s, f"{d}/events.parquet", "user_id", "event_id", "ts", 70),
+    "SELECT DISTINCT e.* FROM events e JOIN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_id) >= 70) USING (user_id)",
+)

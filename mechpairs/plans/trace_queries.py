@@ -169,7 +169,7 @@ UNION ALL SELECT 'agreement', unnest(['ab=ba', 'ab=votes', 'ba=votes']), unnest(
 )
 register(
     "pair_set_difference", lambda s, d: metrics.same_pairs(splits.random_split(frames.labels(s, d)), splits.pair_cold_split(frames.labels(s, d), splits.entity_parts(frames.labels(s, d)))),
-    "SELECT pair_id, 'missing' AS side FROM rs WHERE pair_id NOT IN (SELECT pair_id FROM pc) UNION ALL SELECT pair_id, 'extra' FROM pc WHERE pair_id NOT IN (SELECT pair_id FROM rs)",
+    "SELECT pair_id, 'missing' AS side FROM rs ANTI JOIN pc USING (pair_id) UNION ALL SELECT pair_id, 'extra' FROM pc ANTI JOIN rs USING (pair_id)",
 )
 CURVE = "SELECT confidence, CAST(sum(n) OVER w AS BIGINT) AS kept, CAST(sum(r) OVER w AS BIGINT) AS hit FROM (SELECT confidence, count(*) AS n, count_if(NOT abstain AND pred_family = family) AS r FROM pred WHERE input_order = 'ab' AND NOT abstain GROUP BY confidence) WINDOW w AS (ORDER BY confidence DESC)"
 register(
