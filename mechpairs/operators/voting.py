@@ -167,6 +167,43 @@ def rebalanced(scored: DataFrame, voters: DataFrame, bias: DataFrame, least_bias
     return rows.select("pair_id", "family", F.when(go, F.col("other")).otherwise(F.col("pred_family")).alias("pred_family"), F.coalesce(go, F.lit(False)).alias("switched"))
 
 
+# The parameters of the rescue that a sweep tries.
+SWEEP = {"max_confidence": (0.4, 0.5, 0.6, 0.7, 1.0), "strength": (0.5, 0.6, 0.7, 0.8, 1.0), "max_share": (0.10, 0.20, 0.34, 1.0), "min_steps": (2, 3, 4)}
+
+
+def rescue_sweep(predictions: DataFrame, steps: DataFrame, grid: dict[str, tuple] = SWEEP, seed: str = "sweep-1") -> DataFrame:
+    """Macro-F1 on a tuning half and on the other one for every setting of the rescue by
+    step hints (``traces.rescued``), the best on the tuning half marked (the first on a tie).
+
+    All settings read one table of counts: pairs that agree in half, families, hints and
+    confidence band are one cell, so the grid never meets the pairs.
+    """
+    from .learning import fold
+    from .taxonomy import FAMILIES
+    from .traces import hint_majority
+
+    confidence = F.coalesce("confidence", F.lit(float("inf")))
+    band = sum((F.when(confidence > c, 1).otherwise(0) for c in grid["max_confidence"]), F.lit(0))  # bounds that it breaks, the least first
+    facts = predictions.join(hint_majority(steps), "pair_id", "left").select(
+        fold(F.col("pair_id"), 2, seed).alias("half"), "family", "pred_family", "winner", "n_hints", "n_winner", F.coalesce(F.try_element_at("counts", F.col("pred_family")), F.lit(0)).alias("own"), band.alias("band"),
+    )
+    cells = facts.groupBy(*facts.columns).agg(F.count("*").alias("n"))
+    listed = cells.sparkSession.createDataFrame([(k, c, s, m, t, b) for k, (b, c, s, m, t) in enumerate((b, c, s, m, t) for b, c in enumerate(grid["max_confidence"]) for s in grid["strength"] for m in grid["max_share"] for t in grid["min_steps"])],
+                                                "point int, max_confidence double, strength double, max_share double, min_steps int, bound int")
+    tried = cells.join(F.broadcast(listed), F.col("band") <= F.col("bound")).unionByName(cells.join(F.broadcast(listed), F.col("band") > F.col("bound")).withColumn("winner", F.lit(None).cast("string")))
+    go = F.coalesce(
+        (F.col("n_hints") >= F.col("min_steps")) & (F.col("winner") != F.col("pred_family")) & (F.col("n_winner") >= F.col("strength") * F.col("n_hints")) & (F.col("own") < F.col("n_winner")) & (F.col("own") <= F.col("max_share") * F.col("n_hints")), F.lit(False),
+    )
+    keys = ["point", "max_confidence", "strength", "max_share", "min_steps"]
+    told = tried.select(*keys, "half", "family", F.when(go, F.col("winner")).otherwise(F.col("pred_family")).alias("final"), go.alias("go"), "n")
+    sides = told.select(*keys, "half", F.explode(F.array(F.struct(F.col("family").alias("f"), F.lit(1).alias("gold")), F.struct(F.col("final").alias("f"), F.lit(0).alias("gold")))).alias("e"), (F.col("family") == F.col("final")).alias("ok"), "go", "n")
+    by = sides.groupBy(*keys, "half", "e.f").agg(F.sum(F.when((F.col("e.gold") == 1) & F.col("ok"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("both"), F.sum(F.when((F.col("e.gold") == 1) & F.col("go"), F.col("n")).otherwise(0)).alias("moved"))
+    f1 = F.when(F.col("f").isin(*FAMILIES), 2.0 * F.col("tp") / F.col("both")).otherwise(0.0)
+    halves = by.groupBy(*keys).agg(*(F.round(F.sum(F.when(F.col("half") == h, f1).otherwise(0.0)) / len(FAMILIES), 6).alias(name) for h, name in ((0, "tuned_f1"), (1, "other_f1"))), F.sum("moved").alias("n_rescued"))
+    best = halves.agg(F.max_by("point", F.struct("tuned_f1", -F.col("point"))).alias("b"))
+    return halves.join(F.broadcast(best), F.lit(True)).withColumn("best", F.col("point") == F.col("b")).drop("b")
+
+
 def stage_gains(stages: dict[str, DataFrame]) -> DataFrame:
     """Accuracy after each stage (pair_id, family, pred_family) and its gain on the one before."""
     rows = None
