@@ -71,14 +71,14 @@ register("consensus_winner", lambda s, d: winners(s, d).select("pair_id", "sourc
 
 def source_votes(s, d):
     gold = frames.labels(s, d).where("family <> 'Other'").select("pair_id", "family", "subtype", F.when(F.col("bidirectional"), "bidirectional").otherwise("directed").alias("direction"))
-    rows = gated(s, d).where("candidate_id < 3").join(gold, "pair_id")
+    rows = gated(s, d).join(gold, "pair_id")
     votes = rows.select("pair_id", "abstain", F.col("cand_family").alias("v_family"), F.when(F.col("G9"), F.col("subtype")).otherwise("other").alias("v_subtype"), F.when(F.col("G10"), F.col("direction")).otherwise("n/a").alias("v_direction"))
     return gates.consensus(votes, gold)
 
 
 CONS = f"""SELECT pair_id, sum(n)::BIGINT AS n_votes, sum(kf)::BIGINT AS k_family, sum(ks)::BIGINT AS k_subtype, sum(kd)::BIGINT AS k_direction, arg_max(v, (n, v)) AS majority FROM (
 SELECT pair_id, cand_family AS v, count(*) AS n, count_if(cand_family = family) AS kf, count_if(cand_family = family AND (CASE WHEN G9 THEN subtype ELSE 'other' END) = subtype) AS ks, count_if(G10) AS kd
-FROM ({GATED}) JOIN (SELECT pair_id, family, subtype FROM labels_) USING (pair_id) WHERE candidate_id < 3 AND NOT abstain GROUP BY ALL) GROUP BY pair_id"""
+FROM ({GATED}) JOIN (SELECT pair_id, family, subtype FROM labels_) USING (pair_id) WHERE NOT abstain GROUP BY ALL) GROUP BY pair_id"""
 register("source_consensus", source_votes, CONS)
 WEIGHT = f"""SELECT *, round(least(2.5::DOUBLE, CASE WHEN n_votes >= 2 AND k_family <= 1 THEN raw * 0.5::DOUBLE ELSE raw END), 4) AS weight FROM (SELECT *, 1 + 0.5::DOUBLE * greatest(k_family - 1, 0) + 0.3::DOUBLE * greatest(k_subtype - 1, 0) + 0.2::DOUBLE * greatest(k_direction - 1, 0) AS raw FROM ({CONS}))"""
 register("source_weight", lambda s, d: gates.consensus_weight(source_votes(s, d)).select("pair_id", "k_family", "weight"), f"SELECT pair_id, k_family, weight FROM ({WEIGHT})")
