@@ -30,8 +30,22 @@ def test_violations(spark):
     got = {r.pair_id: r for r in v.violations(predictions, steps).collect()}
     # unpaired 1.8; speculative 0.8 + unsure 0.5 - paired 0.6; adverse 1.5 + gap 1.2 + speculative 0.8;
     # invented 0.8 - neighbor 0.3; nothing; unsure 0.5
-    assert {k: r.violation for k, r in got.items()} == {"p1": 1.8, "p2": 0.7, "p3": 3.5, "p4": 0.5, "p5": 0.0, "p6": 0.5}
-    assert got["p6"].no_transport and not got["p5"].no_transport and not got["p4"].gap_answered and got["p4"].weak_gap_answered
+    assert {k: r.violation_score for k, r in got.items()} == {"p1": 1.8, "p2": 0.7, "p3": 3.5, "p4": 0.5, "p5": 0.0, "p6": 0.5}
+    assert got["p6"].pk_nonmetab_without_transport and not got["p5"].pk_nonmetab_without_transport
+    assert not got["p4"].gap_non_abstain and got["p4"].weak_gap_non_abstain
+
+
+def test_least_suspicious_and_curve(spark):
+    judged = spark.createDataFrame(
+        [
+            ("p1", "v1", 0.5, 0.9, True), ("p1", "v2", 0.5, 0.9, False), ("p2", "v1", 0.5, 0.9, True), ("p2", "v2", 0.5, 0.8, False),
+            ("p3", "pre", 0.0, None, None), ("p3", "old", 0.0, None, True), ("p4", "v1", 1.8, 1.0, True), ("p4", "pre", 1.5, 0.0, False),
+        ], "pair_id string, source string, violation_score double, confidence double, ok boolean")
+    best = {r.pair_id: r.source for r in v.least_suspicious(judged, ("v2", "v1", "pre")).collect()}
+    assert best == {"p1": "v2", "p2": "v1", "p3": "pre", "p4": "pre"}
+    curve = {r.threshold: tuple(r)[1:] for r in v.violation_curve(judged, "ok", (0.0, 0.5, 1.5, 9.0)).collect()}
+    assert curve == {0.0: (0, 0.0, 0.0, 0.5), 0.5: (2, 0.25, 0.5, 0.5), 1.5: (6, 0.75, 0.5, 0.5), 9.0: (8, 1.0, 0.5, 1.0)}
+    assert v.violation_curve(judged.limit(0), "ok").count() == 0 and v.least_suspicious(judged.limit(0), ()).count() == 0
 
 
 def test_description_overlap(spark):
