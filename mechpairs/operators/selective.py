@@ -73,6 +73,7 @@ def quantile_thresholds(rows: DataFrame, score: str, right: str, shares: tuple[f
 
     One row (threshold, coverage, accuracy, baseline), of nulls if no threshold fits.
     """
+    shares = tuple(dict.fromkeys(shares))
     by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(right).alias("r"))
     whole = by.agg(F.sum("n").alias("n_all"), F.sum("r").alias("r_all"), F.min("s").alias("lo"), F.max("s").alias("hi"))
     # Scores are moved into 0 to 1, so that running totals spread over ranges.
@@ -83,8 +84,10 @@ def quantile_thresholds(rows: DataFrame, score: str, right: str, shares: tuple[f
         "at", F.greatest(F.lit(0), F.least(F.col("n_all") - 1, (F.col("p") * F.col("n_all")).cast("long")))
     ).where("below <= at and at < below + n")
     if keep_high:
-        nearest = steps.select(F.col("s").alias("s2"))
-        above = at.select("p", "s").join(nearest, F.col("s2") > F.col("s"), "left").groupBy("p").agg(F.min("s2").alias("next"))
+        # One row with the scores met, at most one for each share, beside every distinct score.
+        met = at.agg(F.map_from_entries(F.collect_list(F.struct("p", "s"))).alias("met"))
+        nexts = [F.struct(F.lit(p).alias("p"), F.min(F.when(F.col("s") > F.try_element_at("met", F.lit(p)), F.col("s"))).alias("next")) for p in shares]
+        above = steps.select("s").join(met, F.lit(True)).agg(F.array(*nexts).alias("x")).select(F.inline("x"))
         at = at.join(above, "p").withColumns({
             "t": F.when(F.col("next").isNotNull(), (F.col("s") + F.col("next")) / 2).otherwise(F.col("s") + 1e-6),
             "kept": F.col("n_upto") - F.col("n"), "hit": F.col("r_upto") - F.col("r"),
