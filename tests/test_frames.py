@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mechpairs.operators import curation, distributions, selective, splits, taxonomy
+from mechpairs.operators import curation, distributions, gates, taxonomy
 from mechpairs.plans import frames
 from mechpairs.plans import trace_frames as tf
 
@@ -41,8 +41,28 @@ def test_pairs_are_dealt_once(spark, lines):
 
 
 def test_digits_of_a_digest(spark):
-    row = spark.range(1).select(frames.hex_int(F.lit("0f9a"), 1, 4), frames.hex_int(F.lit("0f9a"), 2, 1), frames.hex_int(F.lit(None).cast("string"), 1, 2)).first()
-    assert tuple(row) == (0x0F9A, 15, None)
+    d, places = F.md5(F.lit("x").cast("binary")), [(1, 4), (5, 4), (9, 1), (12, 2), (15, 1)]
+    row = spark.range(1).select(*(frames.digits(frames.head(d), a, n) for a, n in places), *(frames.hex_int(d, a, n) for a, n in places)).first()
+    assert tuple(row)[:5] == tuple(row)[5:]
+    assert spark.range(1).select(frames.digits(frames.head(F.lit(None).cast("string")), 1, 2)).first()[0] is None
+
+
+def test_candidates_make_each_digest_once_and_carry_the_label(spark, lines):
+    rows = frames.candidates(spark, lines, ("family", "subtype"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("md5(") == frames.N_CANDIDATES
+    joined = frames.candidates(spark, lines).join(frames.labels(spark, lines).select("pair_id", "family", "subtype"), "pair_id")
+    assert sorted(map(str, rows.select(joined.columns).collect())) == sorted(map(str, joined.collect()))
+
+
+def test_gate_rates_take_one_pass(spark):
+    row = [True, False, None] + [True] * 7
+    data = [("p", *row, True), ("p", *([False] * 10), False), ("q", *row, None)]
+    rows = spark.createDataFrame(data, "pair_id string, " + ", ".join(f"G{k} boolean" for k in range(1, 11)) + ", gate_passed boolean")
+    out = gates.gate_rates(rows)
+    got = {r.gate: (r.n, r.rate) for r in out.collect()}
+    assert got["G1"] == (3, 0.666667) and got["G2"] == (3, 0.0) and got["G3"] == (3, 0.0) and got["any_pair"] == (2, 1.0)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n, r.rate) for r in gates.gate_rates(rows.where("false")).collect()} == {(0, None)}
 
 
 def test_entropy_names_its_map_once(spark):
