@@ -155,3 +155,30 @@ def test_features(spark):
     df = spark.createDataFrame([("about 90 minutes", "Renal and hepatic", 'x ```json\n{"a": 1}\n``` y', "see [A123] and L4567, A123"), ("2 days", "bile", "so {\"b\": {\"c\": 2}} end", ""), (None, None, "no", None)], "t string, r string, j string, l string")
     got = df.select(features.half_life_hours(F.col("t")).alias("h"), features.elimination_route(F.col("r")).alias("e"), features.best_json(F.col("j")).alias("j"), features.literature_ids(F.col("l")).alias("l"), features.action_flag(F.col("r")).alias("a")).collect()
     assert [(r.h, r.e, r.j, r.l) for r in got] == [(1.5, "mixed", '{"a": 1}', ["A123", "L4567"]), (48.0, "hepatic", '{"b": {"c": 2}}', []), (None, None, None, [])]
+
+
+def test_top_lists_by_blocks_hold_what_all_pairs_give(spark):
+    """Dense and sparse cells, ties, several blocks and ranges, a token of all, odd rows."""
+    rows = [(f"e{k:03d}", f"t{(k * j * j + j) % 17}") for k in range(150) for j in range(1 + k % 5)] + [(f"e{k:03d}", "hub") for k in range(0, 150, 2)]
+    sets = spark.createDataFrame([*rows, *rows[:9], (None, "hub"), ("e003", None), ("alone", "own")], "entity string, token string")
+    want = retrieval.top_similar(retrieval.combined([(retrieval.token_similarity(sets), 1.0)]), 6).select("x", "y", "sim", "rank")
+    for block, parts in ((4, 3), (64, 64), (2048, 64)):
+        assert sorted(retrieval.top_by_tokens(sets, 6, block, parts).collect()) == sorted(want.collect())
+
+
+def test_top_lists_make_no_row_for_each_meeting(spark, tmp_path):
+    sets = spark.range(2000).selectExpr("concat('e', id) as entity", "concat('t', id % 2) as token")
+    plan = retrieval.top_by_tokens(sets, 5)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
+    found = retrieval.top_by_tokens(sets, 5).cache()
+    assert found.count() == 10000 and found.where("sim <> 1.0 or rank > 5 or x = y").isEmpty()
+
+
+def test_neighbours_by_either_end(spark):
+    near = spark.createDataFrame([("a", "c", 0.5), ("b", "d", 0.25), ("a", "d", 0.75), ("b", "c", 1.0), ("a", "b", 0.5), ("b", "a", 0.5)], "x string, y string, sim double")
+    query = spark.createDataFrame([("a|b", "a", "b")], "pair_id string, a_id string, b_id string")
+    train = spark.createDataFrame([("c|d", "c", "d", "f"), ("d|c", "d", "c", "g"), ("a|b", "a", "b", "f"), ("c|z", "c", "z", "f")], "pair_id string, a_id string, b_id string, family string")
+    best = {(r.neighbour, r.n_family, r.score, r["rank"]) for r in retrieval.neighbour_pairs(query, train, near, 5).collect()}
+    assert best == {("c|d", "f", 0.75, 1), ("d|c", "g", 0.75, 2)}
+    both = {(r.neighbour, r.score) for r in retrieval.neighbour_pairs(query, train, near, 5, total=True, disjoint=True).collect()}
+    assert both == {("c|d", 0.875), ("d|c", 0.875)}
