@@ -167,13 +167,23 @@ def drop_reasons(labels: DataFrame) -> DataFrame:
 
 
 def kept_tiers(records: DataFrame, prefs: DataFrame, tiers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Records of the listed tiers, and the preferences whose pair still has one."""
+    """Records of the listed tiers, and the preferences whose pair still has one.  Preferences
+    that carry the ``tier`` of their pair's only record are told by it."""
     kept = records.where(F.col("tier").isin(*tiers))
+    if "tier" in prefs.columns:
+        return kept, prefs.where(F.col("tier").isin(*tiers)).drop("tier")
     return kept, prefs.join(kept.select("pair_id").distinct(), "pair_id", "left_semi")
 
 
-def reranked_records(winners: DataFrame, picks: DataFrame, records: DataFrame) -> DataFrame:
-    """The record of each pair's new pick; the old winner's number where the pick has none."""
+def reranked_records(winners: DataFrame, picks: DataFrame | None, records: DataFrame | None) -> DataFrame:
+    """The record of each pair's new pick; the old winner's number where the pick has none.
+    Without ``picks`` the winners carry ``pick``, the pair's new one with its tier, and one
+    whose tier is drop has no record."""
+    if picks is None:
+        there, new = F.col("pick.tier") != "drop", F.col("pick.candidate_id")
+        return winners.select(
+            "pair_id", F.when(there, new).otherwise(F.col("candidate_id")).alias("candidate_id"), F.when(there, F.col("pick.tier")).otherwise(F.col("tier")).alias("tier"),
+            F.coalesce(there & (new != F.col("candidate_id")), F.lit(False)).alias("changed"))
     there = records.select("pair_id", F.col("candidate_id").alias("new_id"), F.col("tier").alias("new_tier"))
     picked = picks.select("pair_id", F.col("candidate_id").alias("new_id")).join(there, ["pair_id", "new_id"])
     return winners.select("pair_id", "candidate_id", "tier").join(picked, "pair_id", "left").select(

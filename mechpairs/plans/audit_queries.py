@@ -10,7 +10,7 @@ from ..operators import counterfactuals as cf
 from ..operators.taxonomy import FAMILIES
 from . import frames
 from . import trace_frames as tf
-from .curation_queries import GATED, PREF, RR, WIN, answers, tiered, winners
+from .curation_queries import GATED, PREF, RR, WIN, answers, known, tiered, winners
 from .registry import codes, parts, register, tokens
 from .sql import _list, _quote
 from .trace_queries import nested
@@ -91,12 +91,12 @@ FULL = ("full_correct", "family_correct")
 
 def cascade(s: SparkSession, d: str) -> DataFrame:
     rows = answers(s, d)
-    return audits.kept_tiers(rows, gates.preferences(rows, FAMILIES), FULL)[1].select("pair_id", "kind")
+    return audits.kept_tiers(rows, gates.preferences(rows, FAMILIES, alone=True, kept=("tier",)), FULL)[1].select("pair_id", "kind")
 
 
 register("kept_preferences", cascade, nested(f"SELECT pair_id, kind FROM ({PREF}) WHERE pair_id IN (SELECT pair_id FROM ({WIN}) WHERE tier IN ('full_correct', 'family_correct'))"))
 register(
-    "reranked_records", lambda s, d: audits.reranked_records(winners(s, d), gates.reranked(tiered(s, d), ["final"]), tiered(s, d).where("tier <> 'drop'")),
+    "reranked_records", lambda s, d: audits.reranked_records(gates.reranked(winners(known(s, d)), ["final"], "pick"), None, None),
     f"""SELECT pair_id, coalesce(p.candidate_id, w.candidate_id) AS candidate_id, coalesce(p.tier, w.tier) AS tier, coalesce(p.candidate_id <> w.candidate_id, false) AS changed FROM ({WIN}) w LEFT JOIN (
 SELECT f.pair_id, f.candidate_id, g.tier FROM {RR.format('final')} f JOIN ({GATED}) g ON f.pair_id = g.pair_id AND f.candidate_id = g.candidate_id AND g.tier <> 'drop') p USING (pair_id)""",
 )
@@ -113,7 +113,8 @@ entity IN (SELECT unnest([a_id, b_id]) FROM pairs) AS in_pairs, entity IN (SELEC
 
 
 def checked(s: SparkSession, d: str) -> DataFrame:
-    return audits.crosscheck(tf.forward(s, d).join(winners(s, d).select("pair_id", "tier"), "pair_id").join(said(s, d), "pair_id"))
+    rows = tf.with_steps(s, d, claims=lambda _, x: tf.claim(x))
+    return audits.crosscheck(winners(rows.select("*", frames.apart(said=F.array_join("claims", "\n"))).drop("claims", "confidence")))
 
 
 POLARITY = "CASE polarity " + " ".join(f"WHEN '{g}' THEN coalesce(pred_polarity IN ({', '.join(map(_quote, f))}), false)" for g, f in audits.POLARITIES.items()) + " ELSE polarity IS NULL OR pred_polarity = polarity END"

@@ -91,3 +91,52 @@ def test_router_rows_without_joins_by_pair(spark, lines):  # noqa: F811
     want, got = learned.router_rows(*sides, frames.labels(spark, lines).where("family <> 'Other'")), lq.two_orders(spark, lines)
     assert got.dtypes == want.dtypes and ordered(got) == ordered(want) and got.count() > 0
     assert "[pair_id" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def old_winners(spark, lines):  # noqa: F811
+    return gates.consensus_winner(cq.tiered(spark, lines, ("family",)).withColumn("match", F.col("cand_family") == F.col("family")), 0.2)
+
+
+def old_answers(spark, lines):  # noqa: F811
+    cited = tf.steps(spark, lines).where("step_id = 1").select("pair_id", "evidence")
+    return tf.forward(spark, lines).select("pair_id", "family", "direction").join(old_winners(spark, lines).select("pair_id", "tier"), "pair_id").join(cited, "pair_id")
+
+
+def test_winners_in_the_row(spark, lines):  # noqa: F811
+    same_and_ungrouped("consensus_winner", old_winners(spark, lines).select("pair_id", "source", "candidate_id", "tier"), spark, lines)
+
+
+def test_preferences_in_the_row(spark, lines):  # noqa: F811
+    rows = old_answers(spark, lines)
+    prefs = gates.preferences(rows, cq.FAMILIES)
+    same_and_ungrouped("preference_pairs", prefs, spark, lines)
+    same_and_ungrouped("kept_preferences", audits.kept_tiers(rows, prefs, aq.FULL)[1].select("pair_id", "kind"), spark, lines)
+
+
+def test_orphans_from_one_join(spark):
+    prefs = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "pair_id string")
+    records = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "pair_id string")
+    got = gates.orphans(prefs, records)
+    assert [tuple(r) for r in got.collect()] == [(4, 2)] and got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [tuple(r) for r in gates.orphans(prefs.limit(0), records).collect()] == [(0, 0)]
+
+
+def test_reranked_in_the_row(spark, lines):  # noqa: F811
+    rows = cq.tiered(spark, lines)
+    same_and_ungrouped("rerank_changes", gates.rerank_changes(rows, ["geomean"], ["final"], "final"), spark, lines, own=1)
+    want = audits.reranked_records(old_winners(spark, lines), gates.reranked(rows, ["final"]), rows.where("tier <> 'drop'"))
+    same_and_ungrouped("reranked_records", want, spark, lines)
+
+
+def test_crosscheck_in_the_row(spark, lines):  # noqa: F811
+    rows = tf.forward(spark, lines).join(old_winners(spark, lines).select("pair_id", "tier"), "pair_id").join(aq.said(spark, lines), "pair_id")
+    same_and_ungrouped("tier_crosscheck", audits.crosscheck(rows), spark, lines, own=1)
+
+
+def test_winner_of_a_list(spark):
+    cols = "pair_id string, candidate_id int, source string, final double, geomean double, match boolean, tier string"
+    rows = [("p", 0, "b", 0.9, 0.1, False, "near_miss"), ("p", 1, "a", 0.9, 0.1, False, "near_miss"), ("p", 2, "a", 0.9, 0.9, True, "full_correct"), ("q", 0, "a", 0.9, 0.9, True, "drop"), ("r", 5, "a", 0.1, 0.1, True, "near_miss")]
+    one = spark.createDataFrame(rows, cols)
+    lists = one.groupBy("pair_id").agg(F.collect_list(F.struct("final", (-F.col("candidate_id")).alias("below"), "candidate_id", "geomean", "source", "match", "tier")).alias("candidates"))
+    want, got = (gates.consensus_winner(x, 0.2).select("pair_id", "candidate_id", "source").collect() for x in (one, lists))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("p", 1, "a")]
