@@ -140,3 +140,26 @@ def test_winner_of_a_list(spark):
     lists = one.groupBy("pair_id").agg(F.collect_list(F.struct("final", (-F.col("candidate_id")).alias("below"), "candidate_id", "geomean", "source", "match", "tier")).alias("candidates"))
     want, got = (gates.consensus_winner(x, 0.2).select("pair_id", "candidate_id", "source").collect() for x in (one, lists))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("p", 1, "a")]
+
+
+def test_implied_in_the_row(spark, lines):  # noqa: F811
+    implied = traces.implied_family(tf.steps(spark, lines))
+    same_and_ungrouped("trace_implied_family", implied, spark, lines)
+    same_and_ungrouped("trace_coherence", traces.coherence(tf.forward(spark, lines), implied), spark, lines, own=1)
+
+
+def test_cues_in_the_row_as_from_rows(spark):
+    said = ["CYP3A4 inhibition; renal clearance", "a bleed and Albumin bound", "misbleed xrenal clearance", None, "risk of sedative", "xabsorption absorption"]
+    cases = [[("protein", said[k]), ("evidence_gap", said[0]), (None, said[(k + 1) % 6]), ("pk_flag", said[(k + 3) % 6])] for k in range(6)]
+    lists = spark.createDataFrame([(f"p{k}", steps) for k, steps in enumerate(cases)] + [("gap", [("abstention", "bleed")])], "pair_id string, steps array<struct<role string, claim string>>")
+    rows = lists.select("pair_id", F.posexplode("steps").alias("step_id", "s")).select("pair_id", "step_id", "s.*")
+    cols = ["pair_id", "gap", "implied"]
+    assert ordered(traces.implied_family(lists).select(cols)) == ordered(traces.implied_family(rows).select(cols))
+
+
+def test_cues_by_word_edge(spark):
+    texts = spark.createDataFrame([(t,) for t in ("renal clearance", "xrenal clearance", "the excreted", "un-excreted", "", "protein-binding")], "t string")
+    for cues in traces.CUES.values():
+        old = "|".join(f"(?:{c})" for c in cues)
+        assert [r[0] for r in texts.select(F.col("t").rlike(traces.any_cue(cues)) != F.col("t").rlike(old)).collect()] == [False] * 6
+    assert traces.any_cue(("a", r"\bb")) == r"(?:a)|(?:\bb)"
