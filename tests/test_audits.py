@@ -86,3 +86,38 @@ def test_capped_subset_bounds_entities(spark):
     kept = audits.capped_subset(labels, 60, 0.1)
     hub = kept.where(F.col("pair_id").startswith("h")).count()
     assert hub <= 6 and kept.count() <= 60
+
+
+def test_flags_by_masks_as_by_rows(spark):
+    """Against the joins by flag, with prefixes that no list names, nulls and repeated rows; and
+    no join is on a prefix, so a pair is not repeated for each flag."""
+    from random import Random
+
+    pick = Random(7)
+    names = (*cf.ENZYMES, "p_gp", "oct2", "zz9", "aa1", None)
+    own = [(pick.choice("abcdef"), pick.choice(names), pick.choice(("inh", "ind", "sub", "sub", None))) for _ in range(70)] + [(None, "cyp3a4", "sub")]
+    flags = spark.createDataFrame(own + own[:9], "entity string, prefix string, kind string")
+    ends = [(x, y, pick.choice(("metabolism", "excretion_rate", "absorption_change", "protein_binding", None)), pick.choice((x, y, None))) for x in "abcdeg" for y in "bcdefg" if x < y]
+    ends += [(None, "a", "metabolism", None)] + ends[:3]
+    pairs = spark.createDataFrame([(f"{x}|{y}", x, y, s, o) for x, y, s, o in ends], "pair_id string, a_id string, b_id string, subtype string, subject_id string")
+    acts = flags.where("kind in ('inh', 'ind')").select(F.col("entity").alias("subject"), "prefix", "kind")
+    taken = flags.where("kind = 'sub'").select(F.col("entity").alias("object"), "prefix").distinct()
+    place = F.array_position(cf.prefix_order(F.col("subtype")), F.col("prefix"))
+    hits = cf.sides(pairs).join(acts, "subject").join(taken, ["object", "prefix"]).withColumn("place", place).where("place > 0")
+    best = hits.groupBy("pair_id").agg(F.min(F.struct("place", "side", (F.col("kind") == "ind").alias("late"), "subject", "object", "prefix", "kind")).alias("m"))
+    relevant = cf.relevant_flips(pairs, flags)
+    assert relevant.count() > 3
+    assert sorted(map(tuple, relevant.collect())) == sorted(map(tuple, best.select("pair_id", "m.side", "m.subject", "m.object", F.concat_ws("_", "m.prefix", "m.kind"), "m.prefix").collect()))
+    other = relevant.join(acts.withColumnRenamed("prefix", "other"), "subject").where("other <> prefix").join(taken.withColumnRenamed("prefix", "other"), ["object", "other"], "left_anti")
+    drawn = other.select("pair_id", "side", F.concat_ws("_", "other", "kind").alias("flag")).withColumn("x", F.md5(F.concat_ws("|", F.lit("null-1"), "pair_id", "flag").cast("binary")))
+    null = cf.null_flips(relevant, flags)
+    assert other.where("other in ('zz9', 'aa1')").count() > 0
+    assert sorted(map(tuple, null.collect())) == sorted(map(tuple, drawn.groupBy("pair_id", "side").agg(F.min_by("flag", "x")).collect()))
+    ways = pairs.select("pair_id", F.lit("A").alias("side"), F.col("a_id").alias("subject"), F.col("b_id").alias("object")).union(pairs.select("pair_id", F.lit("B"), "b_id", "a_id"))
+    met = ways.join(acts.select("subject", "prefix").distinct(), "subject").join(taken, ["object", "prefix"]).groupBy("pair_id").agg(F.array_sort(F.collect_set("prefix")).alias("p"))
+    told = cf.pk_evidence(pairs, flags)
+    cited = F.array_sort(F.transform(F.filter("ids", lambda i: F.startswith(i, F.lit("enzyme_"))), lambda i: F.lower(F.substring(i, 8, 99))))
+    assert sorted(map(str, told.select("pair_id", cited).collect())) == sorted(str(r).replace("p=", f"{told.select(cited).columns[0]}=") for r in met.collect())
+    for df in (relevant, null, told):
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+        assert joins and not any("prefix" in line or "other" in line for line in joins)
