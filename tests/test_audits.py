@@ -94,8 +94,9 @@ def test_flags_by_masks_as_by_rows(spark):
     from random import Random
 
     pick = Random(7)
-    names = (*cf.ENZYMES, "p_gp", "oct2", "zz9", "aa1", None)
+    names = (*cf.ENZYMES, "p_gp", "oct2", "aa1", None)
     own = [(pick.choice("abcdef"), pick.choice(names), pick.choice(("inh", "ind", "sub", "sub", None))) for _ in range(70)] + [(None, "cyp3a4", "sub")]
+    own += [(e, "zz9", "inh") for e in "abcdef"]
     flags = spark.createDataFrame(own + own[:9], "entity string, prefix string, kind string")
     ends = [(x, y, pick.choice(("metabolism", "excretion_rate", "absorption_change", "protein_binding", None)), pick.choice((x, y, None))) for x in "abcdeg" for y in "bcdefg" if x < y]
     ends += [(None, "a", "metabolism", None)] + ends[:3]
